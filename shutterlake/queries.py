@@ -438,9 +438,9 @@ def absences_focal(frames):
     return report.absences(frames, "focal", schema.NOTABLE_FOCALS, 0.05)
 
 
-@query(_absence_sql("fnumber", schema.NOTABLE_FSTOPS).replace("THRESHOLD", "0.11"))
+@query(_absence_sql("fnumber", schema.NOTABLE_FSTOPS).replace("THRESHOLD", "0.12"))
 def absences_aperture(frames):
-    return report.absences(frames, "fnumber", schema.NOTABLE_FSTOPS, 0.11)
+    return report.absences(frames, "fnumber", schema.NOTABLE_FSTOPS, 0.12)
 
 
 @query(

@@ -1,8 +1,7 @@
-"""What several operators share: the shared folder, word classes, Arrow helpers."""
+"""What several operators share: word classes and Arrow helpers."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,46 +9,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import remove, work_path, written  # noqa: F401
+
 #: A word is a run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-DEFAULT_SHARED = "/tmp/checkpoints/shutterlake"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (as in tests) a local one is used, and the
-    session is told of it.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(DEFAULT_SHARED)
-        return context.getCheckpointDir()
-    return place.rstrip("/")
-
-
-def work_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/shutterlake-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = work_path(spark, what)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, through the file system it belongs to."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def whole_text(column: str = "text") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, quality_rules, simhash, token_counts
+from . import exact_dedup, language_id, line_dedup, mixing, packing, quality_rules, simhash, token_counts, token_output, warc
 from .common import documents
 
 
@@ -42,6 +42,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(documents(spark, sf_dir)).taken()
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards of all documents to the shared folder; a row for each sequence."""
+    return token_output.write_shards(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.verdicts(documents(spark, sf_dir))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivatives of response records made of all pages."""
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.membership(documents(spark, sf_dir))
 
@@ -63,6 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_mixing": op4_mixing,
+        "op5_token_output": op5_token_output,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_warc": op7_warc,
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
         "op10_packing": op10_packing,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, written
-from .components import components
+from ..operators.graph import components
 
 #: Words of a shingle and the seed of XXH64; bits that linked fingerprints may differ in.
 SHINGLE, SEED, RADIUS = 3, 42, 3

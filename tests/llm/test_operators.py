@@ -232,7 +232,7 @@ def test_simhash_tiles(spark, monkeypatch):
     prints = sorted(set(prints))
     links = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), tile=16)
     assert links.count() <= len(prints) * 30
-    from shutterlake.llm.components import components
+    from shutterlake.operators.graph import components
 
     got = {r["node"]: r["root"] for r in components(links).collect()}
     x = np.array(prints, np.int64).view(np.uint64)
@@ -241,7 +241,7 @@ def test_simhash_tiles(spark, monkeypatch):
 
 
 def test_components_of_a_path_and_a_star(spark):
-    from shutterlake.llm.components import components
+    from shutterlake.operators.graph import components
 
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 300)] + [(5, 5)] + [(-3, -2)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

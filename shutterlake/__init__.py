@@ -1 +1,3 @@
 """Photographic-metadata analytics on Spark."""
+
+__version__ = "0.1.0"

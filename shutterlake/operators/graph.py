@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import remove, work_path
+from ..workspace import remove, temporary
 
 #: Rounds after which something must be wrong: the method needs about the square of the logarithm of the longest path.
 ROUNDS = 60
@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     schema = "u bigint, v bigint"
 
     def keep(df: DataFrame) -> tuple[DataFrame, str, tuple]:
-        path = work_path(spark, "edges")
+        path = temporary(spark, "edges")
         df.write.parquet(path)
         out = spark.read.schema(schema).parquet(path)
         mark = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,22 +23,58 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Tables of this process that nobody asked to keep, and the session that wrote them.
+_TEMPORARY: dict[str, SparkSession] = {}
+
+
 def work_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing has used before."""
     return f"{shared_dir(spark)}/shutterlake-{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives executors."""
+    """``df`` as a table in the shared folder: cuts lineage and outlives executors.
+
+    It is there until ``clear`` or the end of the process.
+    """
     spark = df.sparkSession
-    path = work_path(spark, what)
+    path = temporary(spark, what)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def temporary(spark: SparkSession, what: str) -> str:
+    """A work path that ``clear`` removes."""
+    path = work_path(spark, what)
+    _TEMPORARY[path] = spark
+    return path
+
+
+def clear() -> None:
+    """Remove this process's temporary tables; what was read from them must have been used by now."""
+    for path, spark in list(_TEMPORARY.items()):
+        with contextlib.suppress(Exception):  # the session may have gone, and its folder with it
+            remove(spark, path)
+        _TEMPORARY.pop(path, None)
+
+
+atexit.register(clear)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, through the file system it belongs to."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    _TEMPORARY.pop(path, None)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -26,10 +26,13 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text, work_path, written
+from ..workspace import temporary, touch, written
+from .common import whole_text
 
 #: Fixed: what counts as the same text.
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+#: How the name of the file begins that tells the number of buckets; names with "_" first are no data.
+MARK = "_buckets_"
 SCHEMA = "digest binary, keep_id bigint"
 
 
@@ -47,14 +50,26 @@ class DigestIndex:
     """The persistent index: a bucketed, sorted Parquet table at ``location``.
 
     The catalog entry may vanish with a session; opening the same location again
-    brings it back, since the files carry their bucket numbers.
+    brings it back, since the files carry their bucket numbers and an empty file's
+    name holds their count.  ``buckets`` is of a new index only, and by default as
+    many as the session's shuffle partitions, so that a batch is dealt out once.
     """
 
-    def __init__(self, spark: SparkSession, location: str | None = None, buckets: int = 16):
-        self.spark, self.location, self.buckets = spark, location or work_path(spark, "digests"), buckets
+    def __init__(self, spark: SparkSession, location: str | None = None, buckets: int | None = None):
+        self.spark, self.location = spark, location or temporary(spark, "digests")
+        self.buckets = self._held() or buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if not self._held():
+            touch(spark, f"{self.location}/{MARK}{self.buckets}")
         self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.location.rsplit("/", 1)[-1])
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.location}'")
 
+    def _held(self) -> int | None:
+        """The number of buckets of an index that is there already."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.location)
+        system = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+        return next((int(n[len(MARK) :]) for n in names if n.startswith(MARK)), None)
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

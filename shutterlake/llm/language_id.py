@@ -5,9 +5,9 @@ anything else a word boundary, that do not cross a boundary.  Each is hashed to
 of BUCKETS embeddings; a text is the mean of its subwords' embeddings, and a linear
 softmax over that mean gives the languages' probabilities.  Embeddings and softmax
 are trained together by stochastic gradient descent in numpy, on a bounded sample of
-labelled rows (SAMPLE a language).  What a row contributes to the sample is a
+labelled rows (SAMPLE a language, SAMPLE_IN_ALL of many languages).  What a row contributes to the sample is a
 histogram over buckets made on the executors from its whole text, so the driver
-holds at most SAMPLE * languages such histograms.
+holds a bounded number of such histograms.
 
 For prediction the two layers are multiplied out to a table of BUCKETS rows and one
 column a language (proven size: 512 KiB for 4 languages, linear in their number),
@@ -42,8 +42,8 @@ from .common import slices
 #: log2 of the number of buckets; dimensions of an embedding; lengths of subwords.
 BITS, DIM, LENGTHS = 15, 16, (2, 3, 4)
 BUCKETS = 1 << BITS
-#: Labelled rows a language that training and calibration use, about; the part of them that calibrates is 1 in KEPT_OUT.
-SAMPLE, KEPT_OUT = 1_000, 5
+#: Labelled rows a language that training and calibration use, about, and in all; the part of them that calibrates is 1 in KEPT_OUT.
+SAMPLE, SAMPLE_IN_ALL, KEPT_OUT = 1_000, 16_000, 5
 #: Languages that a model may have.
 LANGUAGES = 400
 EPOCHS, RATE = 6, 0.5
@@ -183,6 +183,7 @@ def sample(docs: DataFrame, usable: Column, rows: int = SAMPLE, id_col: str = "d
     spark = docs.sparkSession
     labelled = docs.filter(F.col(f"`{lang_col}`").isNotNull() & usable).select(F.col(f"`{lang_col}`").alias("lang"), F.abs(F.xxhash64(F.lit("language sample"), F.col(f"`{id_col}`")) % (1 << 30)).alias("h"), F.col(f"`{text_col}`").alias("text"))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = min(rows, max(1, SAMPLE_IN_ALL // max(1, len(counts))))
     bounds = F.broadcast(spark.createDataFrame([(r["lang"], min(1 << 30, -(-rows * (1 << 30) // r["count"]))) for r in counts], "lang string, below bigint"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

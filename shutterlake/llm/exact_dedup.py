@@ -61,7 +61,7 @@ class DigestIndex:
         if not self._held():
             touch(spark, f"{self.location}/{MARK}{self.buckets}")
         self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.location.rsplit("/", 1)[-1])
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.location}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'")
 
     def _held(self) -> int | None:
         """The number of buckets of an index that is there already."""

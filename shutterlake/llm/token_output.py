@@ -22,12 +22,14 @@ not on which attempt of a task succeeds.
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,8 +40,8 @@ from .token_ids import encoder, tokenizer_text
 
 #: Tokens of a sequence; sequences of a shard at least, and shards at most.
 LENGTH, PER_SHARD, SHARDS = 512, 4096, 65_536
-#: Rounds of the Feistel network.
-ROUNDS = 6
+#: Rounds of the Feistel network; parts in which the shards are written.
+ROUNDS, PASSES = 6, 5
 #: Tasks whose first sequence numbers are held as one small table.
 TASKS = 2_000_000
 
@@ -98,7 +100,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id
                 ["task", "local", "n_tokens", "ids", "doc_ids"],
             )
 
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text"):
             parts, ids, lengths = [rest], [d for d, _ in owners], [n for _, n in owners]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 parts.append(np.append(encode.ids((text or b"").decode()), np.uint16(end_id)).astype("<u2"))
@@ -147,7 +149,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, l
     spark = docs.sparkSession
     out = out or work_path(spark, "token-shards")
     table = work_path(spark, "sequences")
-    sequences(docs, tokenizer_path, length, end_id, **columns).write.parquet(table)
+    sequences(docs, tokenizer_path, length, end_id, **columns).write.option("compression", "zstd").parquet(table)
     rows = spark.read.schema("task int, local bigint, n_tokens int, ids binary, doc_ids array<bigint>").parquet(table)
     counts = rows.groupBy("task").count().orderBy("task").limit(TASKS + 1).collect()
     if len(counts) > TASKS:
@@ -158,12 +160,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, l
     shards = max(1, -(-n // per))
     stride = 2 * length
     plan = F.broadcast(spark.createDataFrame([(r["task"], int(f)) for r, f in zip(counts, firsts)], "task int, first bigint"))
-    placed = rows.join(plan, "task").select((F.col("first") + F.col("local")).alias("sequence"), "n_tokens", "ids", "doc_ids")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = permuted(b.column("sequence").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per), *b.columns], ["slot", "shard", "sequence", "n_tokens", "ids", "doc_ids"])
+    @F.pandas_udf("bigint")
+    def slot_of(sequence: pd.Series) -> pd.Series:
+        return pd.Series(permuted(sequence.to_numpy(), n, key))
+
+    placed = rows.join(plan, "task").withColumn("sequence", F.col("first") + F.col("local")).withColumn("slot", slot_of("sequence")).withColumn("shard", F.floor(F.col("slot") / per))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _file_system(out)
@@ -188,11 +190,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, l
             yield pa.RecordBatch.from_arrays([b.column("slot"), b.column("sequence"), b.column("shard"), pa.array((slot % per) * stride), b.column("n_tokens"), pa.array(crc, pa.int64()), b.column("doc_ids")], ["slot", "sequence", "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids"])
         done()
 
-    ranged = placed.mapInArrow(place, "slot bigint, shard bigint, sequence bigint, n_tokens int, ids binary, doc_ids array<bigint>")
-    ranged = ranged.repartition(min(shards, 4096), "shard").sortWithinPartitions("slot")
     result = work_path(spark, "shard-index")
     schema = "slot bigint, sequence bigint, shard bigint, byte_offset bigint, n_tokens int, ids_crc32 bigint, doc_ids array<bigint>"
-    ranged.mapInArrow(write, schema).write.parquet(result)
+    # A part of the shards at a time, so that no more than that part's shuffle is on disk beside the table.
+    each = -(-shards // min(shards, PASSES))
+    for first in range(0, shards, each):
+        part = placed.filter((F.col("shard") >= first) & (F.col("shard") < first + each)).select("slot", "shard", "sequence", "n_tokens", "ids", "doc_ids")
+        part.repartition(min(each, 4096), "shard").sortWithinPartitions("slot").mapInArrow(write, schema).write.mode("append").parquet(result)
+        del part
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets go of the part's shuffle files
     remove(spark, table)
     _put(out, "shards.json", json.dumps({"sequences": n, "length": length, "per_shard": per, "stride": stride, "dtype": "<u2", "end_id": end_id, "key": key}).encode())
     return spark.read.schema(schema).parquet(result)

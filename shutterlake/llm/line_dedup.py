@@ -4,14 +4,17 @@
    are combined on the map side and written bucketed by hash.
 2. Signatures: a line's shingles are SHINGLE characters, lower-cased; each is hashed
    once, the hash's low bits choose one of BINS bins, and each bin keeps its least
-   hash (MinHash by one permutation).  The bucketed table is grouped by the same
-   hash, so this needs no shuffle.  Every BAND bins make a band; a band with no
+   hash (MinHash by one permutation).  Short lines, which would leave bins empty,
+   have a permutation for each bin instead.  The bucketed table is grouped by the
+   same hash, so this needs no shuffle.  Every BAND bins make a band; a band with no
    shingle in it is left out.
 3. Lines that share a band are candidates.  In each band's group a pivot is compared
-   with all others by exact Jaccard similarity; what it matches is covered, and while
-   a group has lines that no pivot has covered, the least of those is the next pivot.
-   So every pair is either compared or joined through a pivot, in rows linear in the
-   group's size for each pivot, and a group of thousands of variants needs few.
+   with all others: those whose whole signatures allow it (by three deviations) by
+   exact Jaccard similarity.  What it matches is covered, and the least line that no
+   pivot has covered is the next.  After PIVOTS of them, what is left uncovered is
+   compared with its group by signatures within a join, of whose pairs only those go
+   on that allow the similarity.  So every pair is either compared or joined through a
+   pivot, and a group of thousands of variants is joined by one.
 4. Union-find by distributed star contraction; of each component the first occurrence
    (smallest doc_id, then line number) stays.
 
@@ -31,6 +34,10 @@ from ..operators.graph import components
 
 #: Characters of a shingle; bins of a signature and bins of a band; the similarity that links lines.
 SHINGLE, BINS, BAND, SIMILARITY = 5, 32, 4, 0.8
+#: Lines of this many shingles have one permutation; those of fewer, or of up to OVERLAP, one for each bin.
+SHORT, OVERLAP = 64, 100
+#: Shingles that are handled in one row; pivots of a group.
+STRIDE, PIVOTS = 4, 3
 #: Rows of a table that may be broadcast once they are counted: 16 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -59,45 +66,94 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _minima(distinct: DataFrame) -> DataFrame:
+    """id, kind and b0..: of long lines by one permutation with a bin for the low bits of a
+    hash, of short ones (whose bins would be empty) by a permutation for each bin."""
+    size = F.greatest(F.char_length("line") - SHINGLE + 1, F.lit(1))
+    units = distinct.select("h1", "h2", "id", _units(F.col("line")).alias("units"), size.alias("size"))
+    u, c = F.col("units"), F.col
+
+    # STRIDE shingles a row: less is spent on rows, and the work per shingle stays the same.
+    rows = units.filter(c("size") >= SHORT).select("h1", "h2", "id", "units", "size", F.explode(F.sequence(F.lit(0), c("size") - 1, F.lit(STRIDE))).alias("i"))
+    own = [F.when(c("i") + k < c("size"), F.xxhash64(_shingle(u, c("i") + k))).alias(f"x{k}") for k in range(STRIDE)]
+    rows = rows.select("h1", "h2", "id", *own)
+    cut = lambda k: (c(f"x{k}").bitwiseAND(BINS - 1), F.shiftrightunsigned(f"x{k}", 8))
+    rows = rows.select("h1", "h2", "id", *(x.alias(f"{n}{k}") for k in range(STRIDE) for n, x in zip("bv", cut(k))))
+    binned = [F.least(*(F.when(c(f"b{k}") == b, c(f"v{k}")) for k in range(STRIDE))) for b in range(BINS)]
+    long = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), *(F.min(x).alias(f"m{b}") for b, x in enumerate(binned)))
+
+    few = units.filter(c("size") <= OVERLAP).select("h1", "h2", "id", "units", F.explode(_starts(u)).alias("i")).select("h1", "h2", "id", F.xxhash64(_shingle(u, c("i"))).alias("x"))
+    short = few.groupBy("h1", "h2").agg(F.min("id").alias("id"), *(F.min(F.shiftrightunsigned(F.xxhash64(F.lit(b), "x"), 8)).alias(f"m{b}") for b in range(BINS)))
+    names = ["id", "kind", *(f"m{b}" for b in range(BINS))]
+    return long.withColumn("kind", F.lit(0)).select(*names).union(short.withColumn("kind", F.lit(1)).select(*names))
+
+
 def _signatures(distinct: DataFrame) -> DataFrame:
-    """id and bands of each distinct line."""
-    units = distinct.select("h1", "h2", "id", _units(F.col("line")).alias("units"))
-    hashes = units.select("h1", "h2", "id", "units", F.explode(_starts(F.col("units"))).alias("i")).select("h1", "h2", "id", F.xxhash64(_shingle(F.col("units"), F.col("i"))).alias("h"))
-    hashes = hashes.select("h1", "h2", "id", F.col("h").bitwiseAND(BINS - 1).alias("bin"), F.shiftrightunsigned("h", 8).alias("v"))
-    least = hashes.groupBy("h1", "h2").agg(F.min("id").alias("id"), *(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)))
-    bands = []
+    """id, bands and sketch of each line's kinds.
+
+    A sketch is an array of longs, each with four bits for each of 8 bins: 1 to 15 of its least value, 0 if it is empty.
+    """
+    bands, sketch = [], []
     for k in range(0, BINS, BAND):
-        own = [F.col(f"b{b}") for b in range(k, k + BAND)]
-        bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(k), *(F.coalesce(x, F.lit(-1)) for x in own))))
-    return least.select("id", F.array_compact(F.array(*bands)).alias("bands"))
+        own = [F.col(f"m{b}") for b in range(k, k + BAND)]
+        bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(k), F.col("kind"), *(F.coalesce(x, F.lit(-1)) for x in own))))
+    for k in range(0, BINS, 8):
+        digits = [F.coalesce(1 + F.pmod(F.col(f"m{b}"), F.lit(15)), F.lit(0)) for b in range(k, k + 8)]
+        sketch.append(sum((F.shiftleft(x, 4 * i) for i, x in enumerate(digits[1:], 1)), digits[0]))
+    return _minima(distinct).select("id", F.array_compact(F.array(*bands)).alias("bands"), F.array(*sketch).alias("sketch"))
+
+
+def _zero_digits(x: Column) -> Column:
+    """How many of a long's lower 8 hexadecimal digits are 0."""
+    low = F.lit(0x77777777)
+    return F.bit_count(F.bitwise_not((x.bitwiseAND(low) + low).bitwiseOR(x)).bitwiseAND(F.lit(0x88888888)))
+
+
+def _may_be_similar(a: Column, b: Column) -> Column:
+    """Whether two sketches allow SIMILARITY: no more than three deviations (and one bin) short of it.
+
+    Bins empty in both say nothing.
+    """
+    parts = range(BINS // 8)
+    same = sum((_zero_digits(a[k].bitwiseXOR(b[k])) for k in parts), F.lit(0))
+    none = sum((_zero_digits(a[k].bitwiseOR(b[k])) for k in parts), F.lit(0))
+    used = BINS - none
+    return same - none >= SIMILARITY * used - 3 * F.sqrt(SIMILARITY * (1 - SIMILARITY) * used) - 1
 
 
 def _similar(a: Column, b: Column) -> Column:
-    """Whether two lines' sets of shingles have Jaccard similarity SIMILARITY or more."""
-    shingles = lambda line: let(_units(line), lambda u: F.array_distinct(F.transform(_starts(u), lambda i: _shingle(u, i))))
-    both = F.array(F.struct(shingles(a).alias("x"), shingles(b).alias("y")))
-    common = F.transform(both, lambda s: F.size(F.array_intersect(s["x"], s["y"])) >= SIMILARITY * F.size(F.array_union(s["x"], s["y"])))
-    return common[0]
+    """Whether two lines' sets of shingles (of their 64-bit hashes) have Jaccard similarity SIMILARITY or more."""
+    shingles = lambda line: let(_units(line), lambda u: F.array_distinct(F.transform(_starts(u), lambda i: F.xxhash64(_shingle(u, i)))))
+    both = F.struct(shingles(a).alias("x"), shingles(b).alias("y"))
+    # Of sets, |x| + |y| - |x and y| is the size of the union.
+    return let(both, lambda s: let(F.size(F.array_intersect(s["x"], s["y"])), lambda n: n >= SIMILARITY * (F.size(s["x"]) + F.size(s["y"]) - n)))
 
 
 def _edges(distinct: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (u, v) of similar lines: by pivots within each band's group of ``members`` (band, id)."""
-    spark = members.sparkSession
+    """Links (u, v) of similar lines that share a band; ``members`` has band, id and sketch."""
+    spark, c = members.sparkSession, F.col
     wanted = written(members.select("id").distinct(), "candidate-ids")
     text = written(distinct.select("id", "line").join(_few(wanted), "id", "left_semi"), "candidate-lines")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        a, b = text.withColumnsRenamed({"id": "u", "line": "a"}), text.withColumnsRenamed({"id": "v", "line": "b"})
+        return written(written(pairs.distinct(), "pairs").join(a, "u").join(b, "v").filter(_similar(c("a"), c("b"))).select("u", "v"), "similar")
+
     now = members.withColumn("covered", F.lit(False))
     found = spark.createDataFrame([], "u bigint, v bigint")
-    while True:
-        pivots = now.filter("NOT covered").groupBy("band").agg(F.min("id").alias("pivot"))
+    for _ in range(PIVOTS):
+        pivots = now.groupBy("band").agg(F.min(F.when(~c("covered"), F.struct("id", "sketch"))).alias("p")).filter("p IS NOT NULL").select("band", c("p.id").alias("u"), c("p.sketch").alias("other"))
         now = written(now.join(pivots, "band"), "pivots")  # groups that are all covered fall out
-        pairs = now.filter("id <> pivot").select("pivot", "id").distinct()
-        if not pairs.take(1):
-            return found
-        a, b = text.select(F.col("id").alias("pivot"), F.col("line").alias("a")), text.select("id", F.col("line").alias("b"))
-        near = written(pairs.join(a, "pivot").join(b, "id").filter(_similar(F.col("a"), F.col("b"))).select("pivot", "id"), "similar")
-        found = found.union(near.toDF("u", "v"))
-        hit = near.withColumn("hit", F.lit(True))
-        now = now.join(hit, ["pivot", "id"], "left").select("band", "id", (F.col("covered") | (F.col("id") == F.col("pivot")) | F.col("hit").isNotNull()).alias("covered"))
+        near = similar(now.filter((c("id") != c("u")) & _may_be_similar(c("sketch"), c("other"))).select("u", c("id").alias("v")))
+        found = found.union(near)
+        hit = near.select("u", c("v").alias("id"), F.lit(True).alias("hit"))
+        now = now.join(hit, ["u", "id"], "left").select("band", "id", "sketch", (c("covered") | (c("id") == c("u")) | c("hit").isNotNull()).alias("covered"))
+    now = written(now, "uncovered")
+    left = now.filter("NOT covered").select("band", c("id").alias("u"), c("sketch").alias("other"))
+    # Of two that are both uncovered, one comparison is enough.
+    both = (c("id") != c("u")) & (c("covered") | (c("id") > c("u"))) & _may_be_similar(c("sketch"), c("other"))
+    rest = left.join(now.withColumnRenamed("band", "b"), (c("band") == c("b")) & both)
+    return found.union(similar(rest.select("u", c("id").alias("v"))))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +171,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     grouped.write.bucketBy(buckets, "h1", "h2").option("path", path).saveAsTable(table)
     distinct = spark.table(table)
     signed = written(_signatures(distinct), "signatures")
-    bands = signed.select(F.explode("bands").alias("band"), "id")
+    bands = signed.select(F.explode("bands").alias("band"), "id", "sketch")
     shared = written(bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band"), "shared-bands")
     members = written(bands.join(_few(shared), "band"), "members")
     rooted = components(written(_edges(distinct, members), "line-links"))

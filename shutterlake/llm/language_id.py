@@ -50,7 +50,7 @@ EPOCHS, RATE = 6, 0.5
 #: The share of calibration rows that either rule may reject.
 SPARED = 0.001
 #: Characters hashed at a time.
-PART = 1 << 20
+PART = 1 << 18
 UND = "und"
 #: Odd multipliers of the hash.
 STEP, SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)

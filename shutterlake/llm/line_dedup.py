@@ -3,11 +3,10 @@
 1. The distinct lines (of 128 bits of hashes), with their first occurrence and count,
    are combined on the map side and written bucketed by hash.
 2. Signatures: a line's shingles are SHINGLE characters, lower-cased; each is hashed
-   once, the hash's low bits choose one of BINS bins, and each bin keeps its least
-   hash (MinHash by one permutation).  Short lines, which would leave bins empty,
-   have a permutation for each bin instead.  The bucketed table is grouped by the
-   same hash, so this needs no shuffle.  Every BAND bins make a band; a band with no
-   shingle in it is left out.
+   once.  A hash's top bits name one of BINS bins, and each bin keeps the hash that is
+   nearest by exclusive or: the least one in it, or of the nearest bin if it is empty
+   (MinHash by one permutation, without empty bins).  The bucketed table is grouped
+   by the same hash, so this needs no shuffle.  Every BAND bins make a band.
 3. Lines that share a band are candidates.  In each band's group a pivot is compared
    with all others: those whose whole signatures allow it (by three deviations) by
    exact Jaccard similarity.  What it matches is covered, and the least line that no
@@ -26,7 +25,9 @@ an empty table gives no rows; other columns are kept by ``cleaned``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, whole_text, work_path, written
@@ -34,8 +35,6 @@ from ..operators.graph import components
 
 #: Characters of a shingle; bins of a signature and bins of a band; the similarity that links lines.
 SHINGLE, BINS, BAND, SIMILARITY = 5, 32, 4, 0.8
-#: Lines of this many shingles have one permutation; those of fewer, or of up to OVERLAP, one for each bin.
-SHORT, OVERLAP = 64, 100
 #: Shingles that are handled in one row; pivots of a group.
 STRIDE, PIVOTS = 4, 3
 #: Rows of a table that may be broadcast once they are counted: 16 bytes each.
@@ -44,7 +43,7 @@ BROADCAST_ROWS = 1_000_000
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     line = F.posexplode(F.split(whole_text(f"`{text_col}`"), "\n")).alias("line_no", "line")
-    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), line).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), line).filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
     return found.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -61,46 +60,42 @@ def _starts(units: Column) -> Column:
     return F.sequence(F.lit(0), F.greatest((F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0)))
 
 
+def _release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are done: what they made is in tables by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _few(df: DataFrame) -> DataFrame:
     """``df`` (a written table), to be broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _minima(distinct: DataFrame) -> DataFrame:
-    """id, kind and b0..: of long lines by one permutation with a bin for the low bits of a
-    hash, of short ones (whose bins would be empty) by a permutation for each bin."""
+    """id, size (shingles) and m0..: for each bin the hash nearest to it, as the exclusive or with the bin's number on top."""
     size = F.greatest(F.char_length("line") - SHINGLE + 1, F.lit(1))
     units = distinct.select("h1", "h2", "id", _units(F.col("line")).alias("units"), size.alias("size"))
-    u, c = F.col("units"), F.col
-
-    # STRIDE shingles a row: less is spent on rows, and the work per shingle stays the same.
-    rows = units.filter(c("size") >= SHORT).select("h1", "h2", "id", "units", "size", F.explode(F.sequence(F.lit(0), c("size") - 1, F.lit(STRIDE))).alias("i"))
-    own = [F.when(c("i") + k < c("size"), F.xxhash64(_shingle(u, c("i") + k))).alias(f"x{k}") for k in range(STRIDE)]
-    rows = rows.select("h1", "h2", "id", *own)
-    cut = lambda k: (c(f"x{k}").bitwiseAND(BINS - 1), F.shiftrightunsigned(f"x{k}", 8))
-    rows = rows.select("h1", "h2", "id", *(x.alias(f"{n}{k}") for k in range(STRIDE) for n, x in zip("bv", cut(k))))
-    binned = [F.least(*(F.when(c(f"b{k}") == b, c(f"v{k}")) for k in range(STRIDE))) for b in range(BINS)]
-    long = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), *(F.min(x).alias(f"m{b}") for b, x in enumerate(binned)))
-
-    few = units.filter(c("size") <= OVERLAP).select("h1", "h2", "id", "units", F.explode(_starts(u)).alias("i")).select("h1", "h2", "id", F.xxhash64(_shingle(u, c("i"))).alias("x"))
-    short = few.groupBy("h1", "h2").agg(F.min("id").alias("id"), *(F.min(F.shiftrightunsigned(F.xxhash64(F.lit(b), "x"), 8)).alias(f"m{b}") for b in range(BINS)))
-    names = ["id", "kind", *(f"m{b}" for b in range(BINS))]
-    return long.withColumn("kind", F.lit(0)).select(*names).union(short.withColumn("kind", F.lit(1)).select(*names))
+    # STRIDE shingles a row, the last one again past the end: a bin is updated once a row.
+    rows = units.select("h1", "h2", "id", "size", "units", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(STRIDE))).alias("i"))
+    at = lambda k: F.least(F.col("i") + k, F.col("size") - 1)
+    hashes = rows.select("h1", "h2", "id", "size", *(F.xxhash64(_shingle(F.col("units"), at(k))).alias(f"x{k}") for k in range(STRIDE)))
+    top = lambda k: F.lit((k << 59) - (1 << 64 if k >= 16 else 0)).cast("long")
+    return hashes.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("size").alias("size"), *(F.min(F.least(*(F.col(f"x{j}").bitwiseXOR(top(k)) for j in range(STRIDE)))).alias(f"m{k}") for k in range(BINS)))
 
 
 def _signatures(distinct: DataFrame) -> DataFrame:
-    """id, bands and sketch of each line's kinds.
+    """id, bands and sketch of each line.
 
-    A sketch is an array of longs, each with four bits for each of 8 bins: 1 to 15 of its least value, 0 if it is empty.
+    A sketch is an array of longs: each but the last has 8 hexadecimal digits, of 8 bins'
+    values; the last is the number of shingles.
     """
     bands, sketch = [], []
     for k in range(0, BINS, BAND):
-        own = [F.col(f"m{b}") for b in range(k, k + BAND)]
-        bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(k), F.col("kind"), *(F.coalesce(x, F.lit(-1)) for x in own))))
+        bands.append(F.xxhash64(F.lit(k), *(F.col(f"m{b}") for b in range(k, k + BAND))))
     for k in range(0, BINS, 8):
-        digits = [F.coalesce(1 + F.pmod(F.col(f"m{b}"), F.lit(15)), F.lit(0)) for b in range(k, k + 8)]
+        digits = [F.col(f"m{b}").bitwiseAND(15) for b in range(k, k + 8)]
         sketch.append(sum((F.shiftleft(x, 4 * i) for i, x in enumerate(digits[1:], 1)), digits[0]))
-    return _minima(distinct).select("id", F.array_compact(F.array(*bands)).alias("bands"), F.array(*sketch).alias("sketch"))
+    return _minima(distinct).select("id", F.array(*bands).alias("bands"), F.array(*sketch, F.col("size").cast("long")).alias("sketch"))
 
 
 def _zero_digits(x: Column) -> Column:
@@ -112,13 +107,12 @@ def _zero_digits(x: Column) -> Column:
 def _may_be_similar(a: Column, b: Column) -> Column:
     """Whether two sketches allow SIMILARITY: no more than three deviations (and one bin) short of it.
 
-    Bins empty in both say nothing.
+    Lines of fewer shingles than bins have as many bins that vary on their own.
     """
-    parts = range(BINS // 8)
-    same = sum((_zero_digits(a[k].bitwiseXOR(b[k])) for k in parts), F.lit(0))
-    none = sum((_zero_digits(a[k].bitwiseOR(b[k])) for k in parts), F.lit(0))
-    used = BINS - none
-    return same - none >= SIMILARITY * used - 3 * F.sqrt(SIMILARITY * (1 - SIMILARITY) * used) - 1
+    parts = BINS // 8
+    same = sum((_zero_digits(a[k].bitwiseXOR(b[k])) for k in range(parts)), F.lit(0))
+    own = F.least(a[parts], b[parts], F.lit(BINS)).cast("double")
+    return same >= BINS * (SIMILARITY - 3 * F.sqrt(SIMILARITY * (1 - SIMILARITY) / own) - 1 / own)
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -149,6 +143,7 @@ def _edges(distinct: DataFrame, members: DataFrame) -> DataFrame:
         hit = near.select("u", c("v").alias("id"), F.lit(True).alias("hit"))
         now = now.join(hit, ["u", "id"], "left").select("band", "id", "sketch", (c("covered") | (c("id") == c("u")) | c("hit").isNotNull()).alias("covered"))
     now = written(now, "uncovered")
+    _release(spark)
     left = now.filter("NOT covered").select("band", c("id").alias("u"), c("sketch").alias("other"))
     # Of two that are both uncovered, one comparison is enough.
     both = (c("id") != c("u")) & (c("covered") | (c("id") > c("u"))) & _may_be_similar(c("sketch"), c("other"))
@@ -169,11 +164,13 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table = "lines_" + path[-32:]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped.write.bucketBy(buckets, "h1", "h2").option("path", path).saveAsTable(table)
+    _release(spark)
     distinct = spark.table(table)
     signed = written(_signatures(distinct), "signatures")
     bands = signed.select(F.explode("bands").alias("band"), "id", "sketch")
     shared = written(bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band"), "shared-bands")
     members = written(bands.join(_few(shared), "band"), "members")
+    _release(spark)
     rooted = components(written(_edges(distinct, members), "line-links"))
     alike = distinct.select("id", "h1", "h2", "first", "n").join(rooted, distinct["id"] == rooted["node"], "left").filter("n > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "id").alias("root"), "first", "n")
     alike = written(alike, "alike")

@@ -158,5 +158,6 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     kept = written(held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("row")).select("row.doc_id", "row.key"), "kept")
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns)), F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"))
-    same = rows["key"].eqNullSafe(kept["key"]) & rows["doc_id"].eqNullSafe(kept["doc_id"])
+    # Dealt by the hash alone, which holds the doc_id too, the rows need no second shuffle to leave repeats out.
+    same = (rows["key"] == kept["key"]) & F.coalesce(rows["doc_id"] == kept["doc_id"], rows["doc_id"].isNull() & kept["doc_id"].isNull())
     return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "key"]).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -116,6 +116,8 @@ def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     names = [f"c{i}" for i in range(len(docs.columns))]
     row = F.struct(F.col(f"`{id_col}`").alias("first"), *(F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns)))
     one = docs.select(digest(text_col).alias("digest"), row.alias("row")).groupBy("digest").agg(F.max("row").alias("row"))
+    # A column that is not deterministic keeps the join from being moved below the aggregate, where copies would not be combined before the shuffle.
+    one = one.withColumn("place", F.monotonically_increasing_id())
     fresh = written(one.join(index.rows().select("digest").hint("merge"), "digest", "left_anti"), "survivors")
     index.append(fresh.select("digest", F.col("row.first").alias("keep_id")))
     return fresh.select(*(F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns)))

@@ -30,8 +30,10 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, whole_text, work_path, written
 from ..operators.graph import components
+from ..workspace import remove, temporary, written
+from .common import let, whole_text
+
 
 #: Characters of a shingle; bins of a signature and bins of a band; the similarity that links lines.
 SHINGLE, BINS, BAND, SIMILARITY = 5, 32, 4, 0.8
@@ -160,16 +162,19 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
     grouped = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("line").alias("line")).withColumn("id", F.monotonically_increasing_id())
-    path = work_path(spark, "lines")
+    path = temporary(spark, "lines")
     table = "lines_" + path[-32:]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped.write.bucketBy(buckets, "h1", "h2").option("path", path).saveAsTable(table)
+    grouped.write.bucketBy(buckets, "h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(table)
     _release(spark)
     distinct = spark.table(table)
-    signed = written(_signatures(distinct), "signatures")
+    signatures = temporary(spark, "signatures")
+    _signatures(distinct).write.parquet(signatures)
+    signed = spark.read.schema("id bigint, bands array<bigint>, sketch array<bigint>").parquet(signatures)
     bands = signed.select(F.explode("bands").alias("band"), "id", "sketch")
     shared = written(bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band"), "shared-bands")
     members = written(bands.join(_few(shared), "band"), "members")
+    remove(spark, signatures)
     _release(spark)
     rooted = components(written(_edges(distinct, members), "line-links"))
     alike = distinct.select("id", "h1", "h2", "first", "n").join(rooted, distinct["id"] == rooted["node"], "left").filter("n > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "id").alias("root"), "first", "n")

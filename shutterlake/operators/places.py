@@ -53,8 +53,8 @@ def clusters(cell_table: DataFrame, radius_km: float = 25.0, exact: bool = False
     rooted = components(links(numbered.select("id", "latitude", "longitude"), max(radius_km, 0.1), exact))
     held = numbered.join(rooted, numbered["id"] == rooted["node"], "left").withColumn("root", F.coalesce("root", "id"))
     centre = held.groupBy("root").agg(
-        (F.sum(F.col("latitude") * F.col("n")) / F.sum("n")).alias("c_lat"),
-        (F.sum(F.col("longitude") * F.col("n")) / F.sum("n")).alias("c_lon"),
+        (F.sum(F.col("latitude").cast("decimal(12,5)") * F.col("n")).cast("double") / F.sum("n")).alias("c_lat"),
+        (F.sum(F.col("longitude").cast("decimal(12,5)") * F.col("n")).cast("double") / F.sum("n")).alias("c_lon"),
         F.sum("n").alias("c_n"),
         F.count(F.lit(1)).alias("cells"),
         F.min("first").alias("c_first"),

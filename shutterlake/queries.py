@@ -374,7 +374,7 @@ def cells(frames):
   e AS (SELECT a.id AS u, b.id AS v FROM i a JOIN i b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND {_KM.format(a='a', b='b')} <= 25),
   t AS (SELECT id AS u, id AS v FROM i UNION SELECT t.u, e.v FROM t JOIN e ON t.v = e.u),
   m AS (SELECT u AS id, min(v) AS root FROM t GROUP BY u),
-  k AS (SELECT root, sum(latitude * n) / sum(n) AS latitude, sum(longitude * n) / sum(n) AS longitude, sum(n) AS n, count(*) AS cells FROM i JOIN m USING (id) GROUP BY root),
+  k AS (SELECT root, cast(sum(cast(latitude AS DECIMAL(12, 5)) * n) AS DOUBLE) / cast(sum(n) AS DOUBLE) AS latitude, cast(sum(cast(longitude AS DECIMAL(12, 5)) * n) AS DOUBLE) / cast(sum(n) AS DOUBLE) AS longitude, sum(n) AS n, count(*) AS cells FROM i JOIN m USING (id) GROUP BY root),
   d AS (SELECT m.root, count(DISTINCT day) AS days FROM p JOIN i ON p.latitude = i.latitude AND p.longitude = i.longitude JOIN m USING (id) GROUP BY m.root),
   w AS (SELECT k.root, max({_KM.format(a='k', b='i')}) AS km FROM k JOIN m USING (root) JOIN i USING (id) GROUP BY k.root)
 SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, cast(n AS bigint) AS n, cells, days, round(km, 6) AS radius_km FROM k JOIN d USING (root) JOIN w USING (root)"""

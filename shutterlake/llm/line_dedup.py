@@ -10,10 +10,11 @@
 3. Lines that share a band are candidates.  In each band's group a pivot is compared
    with all others: those whose whole signatures allow it (by three deviations) by
    exact Jaccard similarity.  What it matches is covered, and the least line that no
-   pivot has covered is the next.  After PIVOTS of them, what is left uncovered is
-   compared with its group by signatures within a join, of whose pairs only those go
-   on that allow the similarity.  So every pair is either compared or joined through a
-   pivot, and a group of thousands of variants is joined by one.
+   pivot has covered is the next.  After PIVOTS of them, union-find gives the
+   components so far, and within each group all pairs of lines of different components
+   are compared, covered or not: by signatures within a join, of whose pairs only those
+   go on that allow the similarity.  So two lines that share a band are either of one
+   component already or compared, and a group of thousands of variants is joined by one.
 4. Union-find by distributed star contraction; of each component the first occurrence
    (smallest doc_id, then line number) stays.
 
@@ -137,20 +138,34 @@ def _edges(distinct: DataFrame, members: DataFrame) -> DataFrame:
 
     now = members.withColumn("covered", F.lit(False))
     found = spark.createDataFrame([], "u bigint, v bigint")
-    for _ in range(PIVOTS):
+    for step in range(PIVOTS):
         pivots = now.groupBy("band").agg(F.min(F.when(~c("covered"), F.struct("id", "sketch"))).alias("p")).filter("p IS NOT NULL").select("band", c("p.id").alias("u"), c("p.sketch").alias("other"))
-        now = written(now.join(pivots, "band"), "pivots")  # groups that are all covered fall out
+        now = written(now.join(pivots, "band"), "pivots")  # groups that are all covered have no more pivots
         near = similar(now.filter((c("id") != c("u")) & _may_be_similar(c("sketch"), c("other"))).select("u", c("id").alias("v")))
         found = found.union(near)
-        hit = near.select("u", c("v").alias("id"), F.lit(True).alias("hit"))
-        now = now.join(hit, ["u", "id"], "left").select("band", "id", "sketch", (c("covered") | (c("id") == c("u")) | c("hit").isNotNull()).alias("covered"))
-    now = written(now, "uncovered")
+        if step < PIVOTS - 1:
+            hit = near.select("u", c("v").alias("id"), F.lit(True).alias("hit"))
+            now = now.join(hit, ["u", "id"], "left").select("band", "id", "sketch", (c("covered") | (c("id") == c("u")) | c("hit").isNotNull()).alias("covered"))
     _release(spark)
-    left = now.filter("NOT covered").select("band", c("id").alias("u"), c("sketch").alias("other"))
-    # Of two that are both uncovered, one comparison is enough.
-    both = (c("id") != c("u")) & (c("covered") | (c("id") > c("u"))) & _may_be_similar(c("sketch"), c("other"))
-    rest = left.join(now.withColumnRenamed("band", "b"), (c("band") == c("b")) & both)
-    return found.union(similar(rest.select("u", c("id").alias("v"))))
+    joined = written(components(found), "joined")
+    return joined.select(c("node").alias("u"), c("root").alias("v")).union(similar(_apart(members, joined)))
+
+
+def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (u, v) that share a band, are of different components and may be similar.
+
+    ``joined`` has the components so far (node, root).  Of a group's components the
+    largest is not compared with itself, so a family of variants is no square.
+    """
+    c = F.col
+    rooted = members.join(_few(joined), c("id") == c("node"), "left").select("band", "id", "sketch", F.coalesce("root", "id").alias("root"))
+    sizes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "main")
+    now = written(rooted.join(_few(written(mixed, "mixed-bands")), "band").select("band", "id", "sketch", "root", (c("root") == c("main")).alias("main")), "apart")
+    left = now.filter("NOT main").select("band", c("id").alias("u"), c("sketch").alias("other"), c("root").alias("from"))
+    # Of two that are both outside the largest component, one comparison is enough.
+    both = (c("root") != c("from")) & (c("main") | (c("id") > c("u"))) & _may_be_similar(c("sketch"), c("other"))
+    return left.join(now.withColumnRenamed("band", "b"), (c("band") == c("b")) & both).select("u", c("id").alias("v"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 from collections import Counter
 
 import numpy as np
@@ -117,6 +118,27 @@ def test_line_dedup_family_of_variants(spark):
     assert got == {p: k for p, (k, _) in want.items()}
 
 
+def test_line_dedup_chain_through_lines_of_different_pivots(spark):
+    """p1 ~ a ~ b ~ p2 in shared bands: a and b are covered by different pivots, and only their own link joins all."""
+    rng = random.Random(4)
+    at = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=240))]
+    for k in range(3):
+        at.append(at[-1][: 60 * k + 30] + "".join(rng.choices("0123456789", k=14)) + at[-1][60 * k + 44 :])
+    p1, a, b, p2 = at
+    lines = [p1, p2, a, b]
+    sets = [line_dedup_shingles(x) for x in lines]
+    near = {(i, j) for i in range(4) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near == {(2, 0), (3, 1), (3, 2)}
+    distinct = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id bigint, line string")
+    members = spark.createDataFrame([(9, i, [0, 0, 0, 0, 200]) for i in range(4)], "band bigint, id bigint, sketch array<bigint>")
+    links = {(r["u"], r["v"]) for r in line_dedup._edges(distinct, members).collect()}
+    assert brute.classes(4, links) == [0, 0, 0, 0]
+
+
+def line_dedup_shingles(line):
+    return {line[i : i + line_dedup.SHINGLE] for i in range(len(line) - line_dedup.SHINGLE + 1)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{}</style><script>if (a < b) "</p>"</script></head>
 <body><!-- no <p>text</p> --><h1>Head</h1><p class="a>b">One<br>two <b>bold</b> &lt;x&gt; <a href='/up?x=1&amp;y=2'>link</a><img src=pic.png></p>
 <SCRIPT>gone()</SCRIPT><div>last é</div> 3 < 4"""

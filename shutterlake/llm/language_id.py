@@ -13,10 +13,16 @@ For prediction the two layers are multiplied out to a table of BUCKETS rows and
 column a language (proven size: 512 KiB for 4 languages, linear in their number),
 which is broadcast; a text's logits are the mean of its subwords' rows.
 
+Which subwords training has seen is kept apart from the buckets, which a full sample
+fills: one bit for each of 2**SEEN_BITS hashes (2 MiB, broadcast with the table),
+set on the executors and combined by a shuffle.
+
 Rejection is calibrated on rows kept out of the training: a temperature is fitted so
 that the score is a probability, and a text is rejected if it has no letter, or if
 its score, or the share of its subwords that training has seen, is below all but
-SPARED of the calibration rows.
+SPARED of the calibration rows.  Fewer of these than 1/SPARED have their lower tail
+drawn out to that share (``floor``).  The sample takes as many rows of each language,
+so the share of all texts that is spared differs with the languages' shares of them.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
 is rejected; with no labelled row to learn from, every text is; repeated rows give
@@ -37,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, written
 
 #: log2 of the number of buckets; dimensions of an embedding; lengths of subwords.
 BITS, DIM, LENGTHS = 15, 16, (2, 3, 4)
@@ -47,6 +53,8 @@ SAMPLE, SAMPLE_IN_ALL, KEPT_OUT = 1_000, 16_000, 5
 #: Languages that a model may have.
 LANGUAGES = 400
 EPOCHS, RATE = 6, 0.5
+#: log2 of the number of bits that tell which subwords training has seen; a subword's bucket is the top of its bit's number.
+SEEN_BITS = 24
 #: The share of calibration rows that either rule may reject.
 SPARED = 0.001
 #: Characters hashed at a time.
@@ -67,7 +75,7 @@ def letters() -> np.ndarray:
 
 
 def _ids(part: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length, where subwords start in ``part`` (letters, 0 a boundary) and their buckets."""
+    """For each length, where subwords start in ``part`` (letters, 0 a boundary) and their hashes of SEEN_BITS bits."""
     letter, out = part > 0, []
     for n in LENGTHS:
         m = len(part) - n + 1
@@ -81,7 +89,7 @@ def _ids(part: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         for k in range(n):
             h = (h ^ part[at + k]) * STEP
             h ^= h >> np.uint32(15)
-        out.append((at, (h * SPREAD) >> np.uint32(32 - BITS)))
+        out.append((at, (h * SPREAD) >> np.uint32(32 - SEEN_BITS)))
     return out
 
 
@@ -117,9 +125,17 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, l
         yield full()
 
 
-def sums(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the sum of its subwords' rows of ``table``, and whether it has a letter."""
-    out, lettered = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), bool)
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint32(SEEN_BITS - BITS)
+
+
+def sums(texts: list[str | None], table: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the sum of its subwords' rows of ``table``, and whether it has a letter.
+
+    With ``seen``, bits in words of 64, the number of subwords whose bit is set is a last column.
+    """
+    columns = table.shape[1]
+    out, lettered = np.zeros((len(texts), columns + (seen is not None))), np.zeros(len(texts), bool)
     for part, starts, owners in _pieces(texts):
         index = [~o if o < 0 else o for o in owners]
         lettered[index] |= np.maximum.reduceat(part, starts) > 0
@@ -127,9 +143,12 @@ def sums(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.nda
         for at, ids in _ids(part):
             keep = np.searchsorted(at, cut)
             run = np.searchsorted(at[:keep], starts)
-            got = table[ids[:keep]]
-            for col in range(table.shape[1]):
-                total = np.concatenate([[0.0], np.cumsum(got[:, col], dtype=np.float64)])
+            got = table[_buckets(ids[:keep])]
+            parts = [got[:, col] for col in range(columns)]
+            if seen is not None:
+                parts.append(seen[ids[:keep] >> 6] >> (ids[:keep] & np.uint32(63)).astype(np.uint64) & np.uint64(1))
+            for col, part_of in enumerate(parts):
+                total = np.concatenate([[0.0], np.cumsum(part_of, dtype=np.float64)])
                 out[index, col] += total[np.append(run[1:], keep)] - total[run]
     return out, lettered
 
@@ -139,22 +158,37 @@ def histogram(text: str | None) -> np.ndarray:
     for part, _, owners in _pieces([text]):
         cut = PART if owners[0] < 0 else len(part)
         for at, ids in _ids(part):
-            out += np.bincount(ids[: np.searchsorted(at, cut)], minlength=BUCKETS)
+            out += np.bincount(_buckets(ids[: np.searchsorted(at, cut)]), minlength=BUCKETS)
     return out
 
 
+def mark(texts: list[str | None], seen: np.ndarray) -> None:
+    """Set the bits of all subwords of ``texts`` in ``seen``."""
+    for part, _, owners in _pieces(texts):
+        cut = PART if owners[0] < 0 else len(part)
+        for at, ids in _ids(part):
+            ids = np.unique(ids[: np.searchsorted(at, cut)])
+            np.bitwise_or.at(seen, ids >> 6, np.uint64(1) << (ids & np.uint32(63)).astype(np.uint64))
+
+
+def no_bits() -> np.ndarray:
+    return np.zeros(1 << (SEEN_BITS - 6), np.uint64)
+
+
 @dataclass
 class Model:
-    """``table``: a column of logits for each of ``langs``, then whether training saw the bucket, then 1."""
+    """``table``: a column of logits for each of ``langs``, then 1; ``seen``: the bits of subwords that training saw."""
 
     langs: list[str]
     table: np.ndarray
+    seen: np.ndarray | None = None
     temperature: float = 1.0
     least_score: float = 0.0
     least_seen: float = 0.0
 
     def scores(self, total: np.ndarray) -> np.ndarray:
-        logits = total[:, : len(self.langs)] / np.maximum(total[:, -1:], 1) / self.temperature
+        k = len(self.langs)
+        logits = total[:, :k] / np.maximum(total[:, k : k + 1], 1) / self.temperature
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -162,20 +196,40 @@ class Model:
         """Languages, scores, and which texts are rejected."""
         if not self.langs:
             return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        total, lettered = sums(texts, self.table)
+        total, lettered = sums(texts, self.table, self.seen)
         p = self.scores(total)
         best, score = p.argmax(axis=1), np.where(lettered, p.max(axis=1), 0.0)
-        seen = total[:, -2] / np.maximum(total[:, -1], 1)
-        rejected = ~lettered | (score < self.least_score) | (seen < self.least_seen)
+        rejected = ~lettered | (score < self.least_score)
+        if self.seen is not None:
+            rejected |= shares(total) < self.least_seen
         return [self.langs[b] if x else UND for b, x in zip(best, lettered)], score, rejected
 
 
+def shares(total: np.ndarray) -> np.ndarray:
+    """Of each text's subwords the share that training has seen, from ``sums`` with those counted."""
+    return total[:, -1] / np.maximum(total[:, -2], 1)
+
+
+def floor(values: np.ndarray) -> float:
+    """The value below which SPARED of sound rows lie, from calibration rows' ``values`` of at most 1.
+
+    Of fewer than 1/SPARED rows none is that rare, and the lowest tenth, taken as an
+    exponential tail, is drawn out to it, or to the least of them if that is lower.
+    """
+    values = np.sort(values)
+    if SPARED * len(values) >= 1:
+        return float(values[int(SPARED * len(values))])
+    k = max(1, len(values) // 10)
+    edge = values[min(k, len(values) - 1)]
+    return float(min(values[0], edge - (edge - values[:k]).mean() * np.log(k / len(values) / SPARED)))
+
+
 def crc_fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def sample(docs: DataFrame, usable: Column, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """Labelled rows drawn by a hash: (lang, hash, buckets, counts), in a fixed order.
+def drawn(docs: DataFrame, usable: Column, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, int]:
+    """Labelled rows drawn by a hash, written: lang, h and text; and the most rows to collect.
 
     A language's rows are those whose hash is below a bound that lets about
     ``rows`` through; half as many again are the most that are taken.
@@ -185,6 +239,11 @@ def sample(docs: DataFrame, usable: Column, rows: int = SAMPLE, id_col: str = "d
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     rows = min(rows, max(1, SAMPLE_IN_ALL // max(1, len(counts))))
     bounds = F.broadcast(spark.createDataFrame([(r["lang"], min(1 << 30, -(-rows * (1 << 30) // r["count"]))) for r in counts], "lang string, below bigint"))
+    return written(labelled.join(bounds, "lang").filter("h < below").select("lang", "h", "text"), "language-sample"), rows * 3 // 2 * max(1, len(counts))
+
+
+def sample(some: DataFrame, most: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """The drawn rows ``some``, ``most`` at most: (lang, hash, buckets, counts), in a fixed order."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -192,27 +251,54 @@ def sample(docs: DataFrame, usable: Column, rows: int = SAMPLE, id_col: str = "d
             at = [np.flatnonzero(b) for b in bins]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([b[a].astype("<i4").tobytes() for a, b in zip(at, bins)], pa.binary())], ["lang", "h", "at", "n"])
 
-    drawn = labelled.join(bounds, "lang").filter("h < below").select("lang", "h", "text").mapInArrow(features, "lang string, h bigint, at binary, n binary")
-    got = drawn.orderBy("h", "lang", F.xxhash64("at", "n")).limit(rows * 3 // 2 * max(1, len(counts))).collect()
+    got = some.mapInArrow(features, "lang string, h bigint, at binary, n binary").orderBy("h", "lang", F.xxhash64("at", "n")).limit(most).collect()
     return [(r["lang"], r["h"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got]
 
 
+def seen_bits(texts: DataFrame) -> np.ndarray:
+    """The bits of all subwords of the column text: a task's bits are combined by a shuffle of words of 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = no_bits()
+        for batch in slices(batches, "text"):
+            mark(batch.column("text").to_pylist(), own)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], ["at", "bits"])
+
+    got = texts.select("text").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = no_bits()
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _seen_shares(texts: DataFrame, model: Model, most: int) -> np.ndarray:
+    """The share of seen subwords of each text with a letter."""
+    held = texts.sparkSession.sparkContext.broadcast(model.seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.ones((BUCKETS, 1), np.float32)
+        for batch in slices(batches, "text"):
+            total, lettered = sums(batch.column("text").to_pylist(), one, held.value)
+            yield pa.RecordBatch.from_arrays([pa.array(shares(total)[lettered & (total[:, 0] > 0)])], ["share"])
+
+    return texts.select("text").mapInArrow(run, "share double").limit(most).toArrow()["share"].to_numpy()
+
+
 def train(rows: list[tuple[str, int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
     """Fit embeddings and softmax by stochastic gradient descent, then calibrate."""
     rows = [r for r in rows if len(r[2])]
     langs = sorted({r[0] for r in rows})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 2), np.float32))
+        return Model([], np.zeros((BUCKETS, 1), np.float32))
     kept_out = [r for r in rows if r[1] % KEPT_OUT == 0]
     fit = [r for r in rows if r[1] % KEPT_OUT] or rows
     rng = np.random.default_rng(seed)
     embed, weigh = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(langs)))
     share = {x: len(fit) / (len(langs) * max(1, sum(r[0] == x for r in fit))) for x in langs}
-    steps, seen = epochs * len(fit), np.zeros(BUCKETS)
+    steps = epochs * len(fit)
     for epoch in range(epochs):
         for k, j in enumerate(rng.permutation(len(fit))):
             lang, _, at, n = fit[j]
-            seen[at] = 1
             x = n / n.sum()
             hidden = x @ embed[at]
             logits = hidden @ weigh
@@ -223,7 +309,7 @@ def train(rows: list[tuple[str, int, np.ndarray, np.ndarray]], epochs: int = EPO
             back = weigh @ p
             weigh -= now * np.outer(hidden, p)
             embed[at] -= now * len(at) * x[:, None] * back[None, :] * 0.1
-    model = Model(langs, np.column_stack([embed @ weigh, seen, np.ones(BUCKETS)]).astype(np.float32))
+    model = Model(langs, np.column_stack([embed @ weigh, np.ones(BUCKETS)]).astype(np.float32))
     _calibrate(model, kept_out or fit)
     return model
 
@@ -239,16 +325,23 @@ def _calibrate(model: Model, rows: list[tuple[str, int, np.ndarray, np.ndarray]]
     for model.temperature in grid:
         loss.append(-np.log(np.maximum(model.scores(total)[np.arange(len(truth)), truth], 1e-12)).mean())
     model.temperature = float(grid[int(np.argmin(loss))])
-    score, seen = model.scores(total).max(axis=1), total[:, -2] / np.maximum(total[:, -1], 1)
-    rank = int(SPARED * len(score))
-    # Below the lowest calibration row lies nothing that the rule has seen to be sound; it is halved for what the sample has missed.
-    model.least_score = max(1 / len(model.langs), float(np.sort(score)[rank])) / (2 if len(model.langs) > 1 else 1)
-    model.least_seen = float(np.sort(seen)[rank]) / 2
+    model.least_score = floor(model.scores(total).max(axis=1))
 
 
 def fit(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE, **columns) -> Model:
     """A model learned from rows with a label, of those that ``usable`` allows."""
-    return train(sample(docs, F.lit(True) if usable is None else usable, rows, **columns))
+    some, most = drawn(docs, F.lit(True) if usable is None else usable, rows, **columns)
+    model = train(sample(some, most))
+    if model.langs:
+        kept_out = F.col("h") % KEPT_OUT == 0
+        # As in training: with no row left to learn from, all are learned from; with none kept out, those calibrate.
+        learned = some.filter(~kept_out)
+        learned = some if learned.isEmpty() else learned
+        model.seen = seen_bits(learned)
+        share = _seen_shares(some.filter(kept_out), model, most)
+        share = share if len(share) else _seen_shares(learned, model, most)
+        model.least_seen = floor(share) if len(share) else 0.0
+    return model
 
 
 def verdicts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

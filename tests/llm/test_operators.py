@@ -146,6 +146,22 @@ def test_language_id_odd(spark, docs, odd, empty):
     assert all(x[2] for x in found.values())
 
 
+def test_language_id_rejects_what_a_full_sample_has_not_taught(spark, sf_dir):
+    """Two languages learned from a full sample; another Latin-script language and other scripts are rejected."""
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter("lang IN ('en', 'fr')"), queries.language_fold())
+    assert model.langs == ["en", "fr"] and model.least_score > 1 / 2
+    held = docs.filter(~queries.language_fold()).filter("length(text) >= 40").orderBy("doc_id").limit(1500).collect()
+    rejected = lambda some: sum(model.predict(some)[2]) / len(some)
+    for lang in ("en", "fr"):
+        assert rejected([r["text"] for r in held if r["lang"] == lang]) <= 0.02
+    for lang in ("de", "es"):
+        assert rejected([r["text"] for r in held if r["lang"] == lang]) >= 0.95
+    for base in (0x3B1, 0x430, 0x5D0):  # Greek, Cyrillic, Hebrew
+        script = str.maketrans({chr(97 + i): chr(base + i % 24) for i in range(26)})
+        assert rejected([r["text"].lower().translate(script) for r in held[:300]]) >= 0.95
+
+
 def test_language_pieces_do_not_depend_on_company(docs, monkeypatch):
     import numpy as np
 

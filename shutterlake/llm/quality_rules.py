@@ -8,7 +8,9 @@ The verdict is by minimum covariance determinant.  The statistics are transforme
 (language, source), every language and the whole table, all rows that pass the base
 rules give a start (medians and spreads by histogram), then concentration steps
 choose the HALF of rows nearest by Mahalanobis distance and take their mean and
-covariance anew; a consistency factor makes up for the tails left out.  A row is
+covariance anew, until no group's estimate changes (STEPS at most); a consistency
+factor makes up for the tails left out.  Less than half of a group's rows, however
+alike, cannot make up its estimate.  A row is
 judged by the finest of its groups with ROWS rows or more, and is rejected if its
 squared distance is above the CUT quantile of chi-squared.  Spreads have floors, so a
 statistic that most texts share exactly (no repeated line, say) does not make each
@@ -36,8 +38,8 @@ from .common import SPACE, let, whole_text, written
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Fixed by the contract: characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
-#: Units of the transformed statistics; the share of rows that the estimates rest on; concentration steps.
-SCALE, HALF, STEPS = 1024, 0.75, 3
+#: Units of the transformed statistics; the share of rows that the estimates rest on; concentration steps at most.
+SCALE, HALF, STEPS = 1024, 0.5, 30
 #: Rows that a group needs for estimates of its own.
 ROWS = 400
 #: The transformed statistics, and floors of their spread.
@@ -184,7 +186,12 @@ def estimates(rows: DataFrame) -> DataFrame:
             *(F.sum(f"x{i}").alias(f"a_{i}") for i in range(p)),
             *(F.sum(c(f"x{i}") * c(f"x{j}")).alias(f"b_{i}_{j}") for i in range(p) for j in range(i + 1)),
         )
-        now = _estimate(near, factor, f"step-{step}")
+        then = _estimate(near, factor, f"step-{step}")
+        # The sums are of integers, so an estimate that has settled is the same to the last bit.
+        moved = not then.exceptAll(now).isEmpty()
+        now = then
+        if not moved:
+            break
     return now
 
 

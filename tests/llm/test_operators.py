@@ -309,6 +309,17 @@ def test_quality_verdict_against_numpy(spark, docs):
     assert [judged[i]["kept"] for i in ids] == (dist <= cut).tolist()
 
 
+def test_quality_rejects_a_third_of_identical_outliers(spark, docs):
+    """Copies of one junk text, a third of the only (language, source), are rejected, and most sound texts are not."""
+    sound = docs.select("doc_id", "text")
+    junk = spark.range(sound.count() // 2).select((F.col("id") + 10**9).alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 60), i -> concat('$$$%%%###qzx', i, '***&&&|||')))").alias("text"))
+    both = sound.union(junk).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    got = quality_rules.judged(both).filter("NOT base_failed").collect()
+    bad, good = [r for r in got if r["doc_id"] >= 10**9], [r for r in got if r["doc_id"] < 10**9]
+    assert len(bad) >= 0.3 * len(got) and not any(r["kept"] for r in bad)
+    assert sum(r["kept"] for r in good) >= 0.8 * len(good)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_packing(which, request):
     from tokenizers import Tokenizer

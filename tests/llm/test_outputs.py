@@ -129,10 +129,69 @@ def test_line_dedup_chain_through_lines_of_different_pivots(spark):
     sets = [line_dedup_shingles(x) for x in lines]
     near = {(i, j) for i in range(4) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert near == {(2, 0), (3, 1), (3, 2)}
-    distinct = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id bigint, line string")
-    members = spark.createDataFrame([(9, i, [0, 0, 0, 0, 200]) for i in range(4)], "band bigint, id bigint, sketch array<bigint>")
-    links = {(r["u"], r["v"]) for r in line_dedup._edges(distinct, members).collect()}
-    assert brute.classes(4, links) == [0, 0, 0, 0]
+    assert joined_of_one_band(spark, lines) == [0, 0, 0, 0]
+
+
+def joined_of_one_band(spark, lines):
+    """Components of lines that all share one band and have sketches that allow anything."""
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id bigint, line string")
+    members = spark.createDataFrame([(9, i, [0, 0, 0, 0, 200]) for i in range(len(lines))], "band bigint, id bigint, sketch array<bigint>")
+    return brute.classes(len(lines), {(r["u"], r["v"]) for r in line_dedup.edges(members, texts).collect()})
+
+
+def test_line_dedup_compares_all_components_of_a_band(spark):
+    """1 ~ 3, 2 ~ 4 and 3 ~ 4 of one band: the pivot knows only the first link."""
+    rng = random.Random(8)
+    one = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=240))
+    at = [one]
+    for k in range(3):
+        at.append(at[-1][: 60 * k + 30] + "".join(rng.choices("0123456789", k=14)) + at[-1][60 * k + 44 :])
+    other = ["".join(rng.choices("xyz", k=90)) for _ in range(20)]
+    got = joined_of_one_band(spark, [at[0], at[3], at[1], at[2], *other])
+    assert got[:4] == [0, 0, 0, 0] and got[4:] == list(range(4, 24))
+
+
+@pytest.mark.parametrize("size, least", [(9, 0.9), (16, 0.93), (36, 0.95), (90, 0.97), (400, 0.97)])
+def test_line_dedup_recall_of_links(size, least):
+    """Pairs of lines of just SIMILARITY or more: how many share a band and have sketches that allow it."""
+    rng, lines = random.Random(size), []
+    shingles = size - line_dedup.SHINGLE + 1
+    for _ in range(600):
+        a = [chr(0x4E00 + rng.randrange(20_000)) for _ in range(size)]
+        b = a[: size - shingles // 9] + ["\U0001f600"] * (shingles // 9) if shingles >= 9 else [*a, "z"]
+        x, y = line_dedup_shingles("".join(a)), line_dedup_shingles("".join(b))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.89
+        lines += ["".join(a), "".join(b)]
+    bands, sketch = line_dedup.signature(lines)
+    share = (bands[::2] == bands[1::2]).any(axis=1).mean()
+    assert share >= least
+    same = sum(sum((int(x) >> k & 15) == (int(y) >> k & 15) for x, y in zip(a[:4], b[:4]) for k in range(0, 64, 4)) for a, b in zip(sketch[::2].astype(object), sketch[1::2].astype(object)))
+    assert same >= 0.75 * 64 * len(lines) / 2
+
+
+def test_line_signatures_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(3)
+    lines = ["", "a", "abcd", "abcde", "😀" * 9 + "é日"] + ["".join(rng.choices("abcdefg \U0001f600", k=rng.randrange(400))) for _ in range(40)]
+    bands, sketch = line_dedup.signature(lines)
+    monkeypatch.setattr(line_dedup, "PART", 16)
+    for i, x in enumerate(lines):
+        again = line_dedup.signature([x])
+        assert again[0].tolist() == [bands[i].tolist()] and again[1].tolist() == [sketch[i].tolist()]
+    least, filled = line_dedup.minima(lines)
+    for x, row, n in zip(lines, least, filled):
+        own = sorted(set(line_dedup._hashes(np.frombuffer(x.encode("utf-32-le").ljust(20, b"\0"), "<u4")).tolist()))
+        assert n == len({h >> 56 for h in own})
+        for k in (0, 1, 77, 255):  # the bin nearest by exclusive or, and the least in it
+            at = min({h >> 56 for h in own}, key=lambda b: b ^ k)
+            assert row[k] == min(h for h in own if h >> 56 == at)
+
+
+def test_line_dedup_cleans_the_row_it_means(spark):
+    """Rows of equal or no doc_id that share a line: only the later one's goes."""
+    rows = [(None, "shared line of several words here\nonly in the first row of all"), (None, "quite another beginning of a text\nshared line of several words here"), (5, "one line of five\nsecond of five"), (5, "third of five is long enough\none line of five")]
+    for parts in (rows, rows[::-1]):
+        got = Counter(r["text"] for r in line_dedup.cleaned(spark.createDataFrame(parts, "doc_id bigint, text string")).collect())
+        assert got == Counter([rows[0][1], "quite another beginning of a text", rows[2][1], "third of five is long enough"])
 
 
 def line_dedup_shingles(line):

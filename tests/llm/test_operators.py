@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd rows."""
 
 import hashlib
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,11 +100,15 @@ def test_exact_dedup(which, request, spark):
 
 
 def test_digest_index_persists(spark, docs):
-    index = exact_dedup.DigestIndex(spark)
+    from shutterlake.workspace import clear
+
+    place = f"/tmp/checkpoints/test-index-{uuid.uuid4().hex}"
+    index = exact_dedup.DigestIndex(spark, place)
     first, second = docs.filter("doc_id % 2 = 0"), docs
     exact_dedup.survivors(first, index)
-    spark.sql(f"DROP TABLE {index.table}")  # as at the end of a session
-    index = exact_dedup.DigestIndex(spark, index.location)
+    clear()  # as at the end of a session: the catalog forgets the tables
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_run_")]
+    index = exact_dedup.DigestIndex(spark, place)
     known = {same_text(t) for _, t in texts(first)}
     assert index.rows().count() == len(known)
     added = exact_dedup.survivors(second, index)
@@ -113,12 +118,49 @@ def test_digest_index_persists(spark, docs):
     assert again.filter("kept").count() == 0
 
 
-def test_index_join_does_not_shuffle_the_index(spark, docs):
+def test_digest_indexes_of_one_last_name_are_two(spark, docs):
+    top = f"/tmp/checkpoints/test-index-{uuid.uuid4().hex}"
+    one, two = (exact_dedup.DigestIndex(spark, f"{top}/{x}/index") for x in ("en", "de"))
+    n = exact_dedup.survivors(docs, one).count()
+    assert two.rows().count() == 0 and exact_dedup.survivors(docs, two).count() == n == two.rows().count()
+
+
+def test_digest_index_batch_run_again(spark, docs):
+    """A batch run again by its name gets what it got, before and after the runs are merged; other batches do not."""
+    index = exact_dedup.DigestIndex(spark)
+    half = docs.filter("doc_id % 2 = 0")
+    of = lambda df: Counter(map(tuple, df.collect()))
+    old = exact_dedup.survivors(half, index, batch="a").count()
+    want = of(exact_dedup.membership(docs, index, batch="b"))
+    rows = index.rows().count()
+    assert of(exact_dedup.membership(docs, index, batch="b")) == want and index.rows().count() == rows
+    index.merge()
+    assert of(exact_dedup.membership(docs, index, batch="b")) == want and index.rows().count() == rows
+    assert exact_dedup.survivors(half, index, batch="a").count() == old
+    assert index.rows().count() == rows == index.rows().select("digest").distinct().count()
+    assert exact_dedup.membership(docs, index, batch="c").filter("kept").count() == 0
+
+
+def test_digest_index_of_many_appends(spark, docs):
+    """Runs are merged; a bucket is one file; the index is neither shuffled nor sorted."""
     index = exact_dedup.DigestIndex(spark)
-    exact_dedup.survivors(docs, index)
-    groups = docs.select(exact_dedup.digest().alias("digest")).distinct()
-    plan = groups.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    for k in range(7):
+        exact_dedup.survivors(docs.filter(F.col("doc_id") % 7 == k), index)
+        assert len(index.state["runs"]) <= exact_dedup.RUNS
+    assert index.rows().count() == len({same_text(t) for _, t in texts(docs)})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for buckets in (index.buckets, 4):
+            spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
+            groups = docs.select(exact_dedup.digest().alias("digest")).distinct()
+            plan = index.unknown(groups)._jdf.queryExecution().executedPlan().toString()
+            joins = plan.count("SortMergeJoin")
+            assert joins == len(index.state["runs"]) > 1
+            assert plan.count("Bucketed: true") == joins
+            assert plan.count("Sort [") == 1 and plan.count("Exchange") <= 1 + (buckets != index.buckets)  # of the batch
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_language_id_held_out(spark, sf_dir, docs):

@@ -55,8 +55,8 @@ BITS, BANDS, ROWS, SKETCH = 8, 15, 6, 64
 DEVIATIONS = 4
 #: Characters that are hashed at a time, and lines that are signed at a time; lines that a task remembers to have signed.
 PART, SIGNED, REMEMBERED = 1 << 16, 2048, 1 << 18
-#: Rows of a table that may be broadcast once they are counted: some tens of bytes each.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a table that may be broadcast once its rows are counted.
+BROADCAST = 40 << 20
 #: Odd multipliers of the hash, and the value of an empty bin.
 STEP, SPREAD, EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: The bins of the bands, and of the sketch.
@@ -144,9 +144,9 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df`` (a written table), to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, width: int = 64) -> DataFrame:
+    """``df`` (a written table of ``width`` bytes a row in memory), to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST else df
 
 
 def _blank(line: bytes) -> bool:
@@ -231,14 +231,13 @@ def edges(members: DataFrame, texts: DataFrame) -> DataFrame:
     ``members`` has band, id and sketch, ``texts`` (unique id) id and line in lower case.
     """
     c = F.col
-    texts = _few(texts)
 
     def exact(pairs: DataFrame, what: str) -> DataFrame:
         x, y = texts.select(c("id").alias("u"), c("line").alias("x")), texts.select(c("id").alias("v"), c("line").alias("y"))
         return written(pairs.join(x, "u").join(y, "v").filter(_similar(c("x"), c("y"))).select("u", "v"), what)
 
     pivots = members.groupBy("band").agg(F.min(F.struct("id", "sketch")).alias("pivot"))
-    held = _few(written(pivots.select("band", c("pivot.id").alias("v"), c("pivot.sketch").alias("other")), "pivots"))
+    held = _few(written(pivots.select("band", c("pivot.id").alias("v"), c("pivot.sketch").alias("other")), "pivots"), 128)
     near = members.join(held, "band").filter((c("id") != c("v")) & _may_be_similar(c("sketch"), c("other"))).select(c("id").alias("u"), "v")
     near = written(near.distinct(), "near-pivots")
     found = exact(near.groupBy("u").agg(F.min("v").alias("v")), "links-0")
@@ -282,10 +281,10 @@ def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     mark = low.bitwiseOR(F.shiftleft(low.bitwiseXOR(F.lit(0x7FFFFFFF)), 32))
     bands = signed.select(F.explode("bands").alias("band"), mark.alias("mark")).groupBy("band").agg(F.bit_or("mark").alias("marks"))
     shared = written(bands.filter(c("marks").bitwiseAND(F.shiftright("marks", 32)) != 0).select("band"), "shared-bands")
-    found = written(signed.select(F.explode("bands").alias("band"), "h1", "h2").join(_few(shared), "band").distinct(), "shared-members")
+    found = written(signed.select(F.explode("bands").alias("band"), "h1", "h2").join(_few(shared, 40), "band").distinct(), "shared-members")
     nodes = written(found.select("h1", "h2").distinct().withColumn("id", F.monotonically_increasing_id()), "candidates")
     few = _few(nodes)
-    sketches = _few(written(signed.select("h1", "h2", "sketch").join(few, ["h1", "h2"]).select("id", "sketch").distinct(), "sketches"))
+    sketches = _few(written(signed.select("h1", "h2", "sketch").join(few, ["h1", "h2"]).select("id", "sketch").distinct(), "sketches"), 128)
     return nodes, written(found.join(few, ["h1", "h2"]).join(sketches, "id").select("band", "id", "sketch"), "members")
 
 
@@ -293,10 +292,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     """id and line (in lower case) of the lines of ``wanted``: id and first (doc_id, line_no, key)."""
     c = F.col
     of = wanted.groupBy(c("first.key").alias("k"), c("first.doc_id").alias("d")).agg(F.collect_list(F.struct(c("first.line_no").alias("line_no"), "id")).alias("lines"))
+    # A row of this is as long as its text has candidates: 256 bytes are ample for the mean, as all texts' lines number few times their rows.
     rows = docs.select(c(f"`{id_col}`").cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("key"), c(f"`{text_col}`").alias("text"))
-    some = rows.join(_few(written(of, "wanted")), (c("key") == c("k")) & c("doc_id").eqNullSafe(c("d")))
+    some = rows.join(_few(written(of, "wanted"), 256), (c("key") == c("k")) & c("doc_id").eqNullSafe(c("d")))
     some = some.select("lines", F.split("text", "\n").alias("split")).select(F.explode(F.transform("lines", lambda x: F.struct(x["id"].alias("id"), F.lower(F.get("split", x["line_no"])).alias("line")))).alias("x"))
-    return some.select("x.id", "x.line").dropDuplicates(["id"])
+    return some.select("x.id", "x.line").distinct()
 
 
 def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +314,7 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept = alike.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n_lines"))
     named = alike.filter("root IS NOT NULL").select("h1", "h2", "root").join(kept, "root").drop("root")
     named = written(named.unionByName(alike.filter("root IS NULL").select("h1", "h2", F.col("first").alias("keep"), F.col("n").alias("n_lines"))), "named")
-    out = lines.drop("bands", "sketch").join(_few(named), ["h1", "h2"], "left")
+    out = lines.drop("bands", "sketch").join(_few(named, 128), ["h1", "h2"], "left")
     return out.select("doc_id", "key", "line_no", F.coalesce("keep", own).alias("keep"), F.coalesce("n_lines", F.lit(1)).cast("long").alias("n_lines"))
 
 

@@ -7,8 +7,9 @@ lengths, which is broadcast; tier two is a cache in each Python worker, filled
 by encoding the pre-tokens that tier one misses.  No pre-token is shuffled.
 
 The frequent pre-tokens come from all rows: each task keeps a bounded counter
-and hands on its ``TASK_SUMMARY`` most frequent entries, which are summed and cut
-to ``FREQUENT``.  The table only decides what is looked up where; counts never
+and hands on one row, a summary of its ``TASK_SUMMARY`` most frequent entries.
+Summaries are merged up a tree, whole, ``MERGED`` at a time, and cut to ``FREQUENT``
+each; the driver merges the last ``MERGED``.  The table only decides what is looked up where; counts never
 depend on it.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special
@@ -23,7 +24,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, written
 
 #: Entries of the broadcast table, at most: with pre-tokens of up to LONGEST bytes about 1 MB.
 FREQUENT = 16_384
 #: Frequent pre-tokens that a task hands on.
 TASK_SUMMARY = 2_048
+#: Summaries that one task of the tree, or the driver, merges: of at most 1 MB each.
+MERGED = 64
 #: Distinct pre-tokens that a task counts before it drops the rare ones.
 TASK_COUNTED = 200_000
 #: Entries of a worker's cache, and the longest pre-token (bytes) that a table or cache keeps.
@@ -104,6 +107,25 @@ class Lengths(dict):
 _WORKER: dict[int, Lengths] = {}
 
 
+def _summary(seen: Counter[bytes], most: int) -> pa.RecordBatch:
+    """One row: the most frequent pre-tokens of at most LONGEST bytes, joined by spaces, and how often each was seen."""
+    top = sorted(((k, n) for k, n in seen.most_common(most) if len(k) <= LONGEST), key=lambda x: (-x[1], x[0]))
+    return pa.RecordBatch.from_arrays([pa.array([b" ".join(k for k, _ in top)], pa.binary()), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["pretokens", "counts"])
+
+
+def _trimmed(seen: Counter[bytes]) -> Counter[bytes]:
+    return Counter(dict(seen.most_common(TASK_COUNTED // 2))) if len(seen) > TASK_COUNTED else seen
+
+
+def _merged(rows: Iterable[tuple[bytes, list[int]]]) -> Counter[bytes]:
+    seen: Counter[bytes] = Counter()
+    for pretokens, counts in rows:
+        for k, n in zip(pretokens.split(b" "), counts):
+            seen[k] += n
+        seen = _trimmed(seen)
+    return seen
+
+
 def frequent_pretokens(docs: DataFrame, text_col: str = "text") -> list[bytes]:
     """The frequent pre-tokens of all rows, most frequent first; at most FREQUENT."""
 
@@ -112,14 +134,20 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text") -> list[bytes]:
         for batch in slices(batches, "text"):
             for text in as_bytes(batch.column("text")):
                 seen.update(text.split() if text else ())
-            if len(seen) > TASK_COUNTED:
-                seen = Counter(dict(seen.most_common(TASK_COUNTED // 2)))
-        top = sorted(((k, n) for k, n in seen.most_common(TASK_SUMMARY) if len(k) <= LONGEST), key=lambda x: (-x[1], x[0]))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["pretoken", "n"])
-
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(summarise, "pretoken binary, n bigint")
-    rows = found.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(FREQUENT).collect()
-    return [bytes(r["pretoken"]) for r in rows]
+            seen = _trimmed(seen)
+        yield _summary(seen, TASK_SUMMARY)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _summary(_merged((r["pretokens"], r["counts"]) for b in batches for r in b.to_pylist()), FREQUENT)
+
+    schema = "pretokens binary, counts array<bigint>"
+    found = written(docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(summarise, schema), "summaries")
+    left = found.count()
+    while left > MERGED:
+        left = -(-left // MERGED)
+        found = found.repartition(left).mapInArrow(merge, schema)
+    seen = _merged((bytes(r["pretokens"]), r["counts"]) for r in found.collect())
+    return [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT] if k]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text_col: str = "text") -> DataFrame:

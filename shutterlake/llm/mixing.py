@@ -11,11 +11,12 @@ over the shards splits the vector of the sources' unit counts at each node by a
 multivariate hypergeometric draw, so a shard holds exactly its quota, and the
 sources in the proportions that drawing without replacement gives.  Each shard then
 takes the next units of each source's permuted list, which are disjoint, and orders
-its own rows by a keyed hash.
+its own rows by a keyed hash.  A row is in the mix as often as shards drew units that
+hold it, and in no other way.
 
-What reaches the driver: a row for each source, one for each block (BLOCKS a source
-at most), and the rows of one leaf a source (about LEAF).  The documents themselves
-are never shuffled to be chosen; only ``ordered=True`` moves them, shard by shard.
+What reaches the driver: a row for each source, one for each block (BLOCKS, and one more
+a source, at most), and the rows of one leaf a source (about LEAF).  The documents themselves
+are never shuffled to be chosen; only ``rows`` moves them, by ranges of shards.
 
 Defined results: a null text has size 0 and is drawn with its block, adding no
 words; null sources form one source, last in order; sources whose words are all
@@ -25,9 +26,11 @@ gives an empty mix.  Every draw is keyed by ``seed``, so reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +38,14 @@ from .common import WORD, whole_text, written
 
 #: Weights of the sources in order, repeating; and how often a source may be repeated.
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
-#: Rows of a leaf (about), blocks of a source and cells of a block at most.
-LEAF, BLOCKS, CELLS = 1024, 1024, 4096
+#: Rows of a leaf or a block, at least (about); blocks of all sources, and cells of a block, at most.
+LEAF, BLOCKS, CELLS = 1024, 1 << 18, 4096
 #: Rows around the cut of which the best subset is taken.
 CLOSING = 64
-#: Words of an output shard, about, and shards at most.
-SHARD_WORDS, SHARDS = 1 << 20, 16_384
-#: Sources beyond which the plan of a mix is no small table.
-SOURCES = 2_000
+#: Words of an output shard, about; shards at most; partitions that shards are dealt to, at most.
+SHARD_WORDS, SHARDS, WRITERS = 1 << 20, 1 << 18, 1 << 16
+#: Rows of the plan's tables that may be broadcast: some tens of bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def size_of(text_col: str = "text") -> Column:
@@ -57,24 +60,28 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: float = MOST_PA
     """Words wanted of each source: shares by weight, none above ``most`` times its size."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, fixed = sum(sizes.values()), {}
-    while True:
-        free = [s for s in order if s not in fixed]
-        left, share = total - sum(fixed.values()), sum(weight[s] for s in free)
-        want = {s: left * weight[s] / share for s in free}
-        above = [s for s in free if want[s] > most * sizes[s]]
-        if not above:
-            return {s: float(fixed.get(s, want.get(s, 0))) for s in order}
-        fixed |= {s: most * sizes[s] for s in above}
-
-
-def split(quotas: np.ndarray, capacities: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Units of each source (columns) for each shard (rows); rows sum to ``capacities``."""
+    left, share, out = float(sum(sizes.values())), sum(weight.values()), {}
+    # Capping a source leaves more for each weight of the others, so those of least size a weight are capped first.
+    for s in sorted(order, key=lambda s: sizes[s] / weight[s]):
+        out[s] = min(left * weight[s] / share, float(most * sizes[s]))
+        if out[s] == most * sizes[s]:
+            left, share = left - out[s], share - weight[s]
+    return {s: out[s] for s in order}
+
+
+def split(sources: np.ndarray, quotas: np.ndarray, capacities: np.ndarray, rng: np.random.Generator, first: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The tree: (shard, sources, units of each) for each shard, whose units sum to its capacity.
+
+    ``quotas`` are the units that the node has of ``sources``; they sum to that of ``capacities``.
+    """
     if len(capacities) == 1:
-        return quotas[None, :]
+        yield first, sources, quotas
+        return
     half = len(capacities) // 2
     left = rng.multivariate_hypergeometric(quotas, int(capacities[:half].sum()), method="marginals")
-    return np.vstack([split(left, capacities[:half], rng), split(quotas - left, capacities[half:], rng)])
+    for part, own, at in ((left, capacities[:half], first), (quotas - left, capacities[half:], first + half)):
+        some = part > 0
+        yield from split(sources[some], part[some], own, rng, at)
 
 
 @dataclass
@@ -88,7 +95,7 @@ class Source:
     blocks: int = 1
     passes: int = 0
     #: Of the pass that ends early: its whole blocks, the block that is cut, cells and keys taken of it.
-    whole: list[int] = field(default_factory=list)
+    whole: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     cut: int | None = None
     cells: int = 1
     below: int = 0
@@ -109,18 +116,19 @@ class Mix:
             docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), row_key(seed, id_col, text_col).alias("key"), size_of(text_col).alias("size")),
             "sizes",
         )
-        found = self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(SOURCES + 1).collect()
-        if len(found) > SOURCES:
-            raise ValueError(f"more than {SOURCES} sources")
+        found = self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
         want = targets({r["source"]: r["size"] for r in found}, weights, most)
         rows = {r["source"]: r for r in found}
-        self.sources = [Source(s, rows[s]["size"], rows[s]["rows"], t, max(1, min(BLOCKS, rows[s]["rows"] // LEAF))) for s, t in want.items()]
+        whole = sum(r["rows"] for r in found)
+        blocks = lambda n: max(1, min(n // LEAF, -(-BLOCKS * n // whole)))
+        self.sources = [Source(s, rows[s]["size"], rows[s]["rows"], t, blocks(rows[s]["rows"])) for s, t in want.items()]
         self._cut()
         self._deal()
 
     def _plan(self, columns: str, rows: list[tuple]) -> DataFrame:
-        """A table with a row for each source; SOURCES bounds it, so it may be broadcast."""
-        return F.broadcast(self.spark.createDataFrame(rows, columns))
+        """A small table, broadcast if it is one."""
+        df = self.spark.createDataFrame(rows, columns)
+        return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
     def _block(self) -> Column:
         return F.pmod(F.col("key"), F.col("blocks")).cast("int")
@@ -130,26 +138,27 @@ class Mix:
 
     def _cut(self) -> None:
         """How the last pass of each source ends."""
-        for i, s in enumerate(self.sources):
+        for s in self.sources:
             s.passes = min(int(s.target // s.size), MOST_PASSES) if s.size else 0
         sized = self.sized.withColumnRenamed("source", "name")
         same = lambda a, b: a["name"].eqNullSafe(b["source"])
         plan = self._plan("source string, n int, blocks int", [(s.name, i, s.blocks) for i, s in enumerate(self.sources)])
-        of_block: dict[int, np.ndarray] = {i: np.zeros((s.blocks, 2), np.int64) for i, s in enumerate(self.sources)}
-        for r in sized.join(plan, same(sized, plan)).groupBy("n", self._block().alias("block")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect():
-            of_block[r["n"]][r["block"]] = r["size"], r["rows"]
+        found = sized.join(plan, same(sized, plan)).groupBy("n", self._block().alias("block")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).toArrow()
+        first = np.concatenate([[0], np.cumsum([s.blocks for s in self.sources])]).astype(np.int64)
+        of_block = np.zeros((int(first[-1]), 2), np.int64)
+        of_block[first[found["n"].to_numpy()] + found["block"].to_numpy()] = np.column_stack([found["size"].to_numpy(), found["rows"].to_numpy()])
         left: dict[int, float] = {}
         for i, s in enumerate(self.sources):
             rest = s.target - s.passes * s.size
             if rest <= 0 or not s.size:
                 continue
-            for b in _permuted(s.blocks, self.seed, i, s.passes).tolist():
-                if of_block[i][b, 0] > rest:
-                    s.cut, left[i] = b, rest
-                    s.cells = int(max(1, min(CELLS, of_block[i][b, 1] // LEAF)))
-                    break
-                s.whole.append(b)
-                rest -= int(of_block[i][b, 0])
+            order, own = _permuted(s.blocks, self.seed, i, s.passes), of_block[first[i] : first[i + 1]]
+            ends = np.cumsum(own[order, 0])
+            k = int(np.searchsorted(ends, rest, "right"))  # blocks that fit as a whole
+            s.whole = order[:k]
+            if k < s.blocks:
+                s.cut, left[i] = int(order[k]), rest - (float(ends[k - 1]) if k else 0.0)
+                s.cells = int(max(1, min(CELLS, own[s.cut, 1] // LEAF)))
         cut = [(s.name, i, s.blocks, s.cut, s.cells) for i, s in enumerate(self.sources) if s.cut is not None]
         if not cut:
             return
@@ -169,61 +178,79 @@ class Mix:
         if not leaf:
             return
         names = self._plan("leaf_of string, leaf int", leaf)
-        rows = inside.join(names, inside["name"].eqNullSafe(names["leaf_of"]) & (inside["cell"] == names["leaf"])).groupBy("n", "key").agg(F.sum("size").alias("size")).collect()
+        of_leaf: dict[int, list[tuple[int, int]]] = {i: [] for i in left}
+        for r in inside.join(names, inside["name"].eqNullSafe(names["leaf_of"]) & (inside["cell"] == names["leaf"])).groupBy("n", "key").agg(F.sum("size").alias("size")).collect():
+            of_leaf[r["n"]].append((r["key"], r["size"]))
         for i in left:
-            self.sources[i].keys = _closest(sorted((r["key"], r["size"]) for r in rows if r["n"] == i), left[i])
+            self.sources[i].keys = _closest(sorted(of_leaf[i]), left[i])
 
     def _deal(self) -> None:
-        """Units of the sources in their permuted order, and the shard of each."""
-        units: list[list[tuple[int, int]]] = []
+        """``units``: n (of the source), block, pass, cut and the shard of each, by source and in its permuted order."""
+        parts = []
         for i, s in enumerate(self.sources):
-            own = [(p, int(b)) for p in range(s.passes) for b in _permuted(s.blocks, self.seed, i, p)]
-            units.append(own + [(s.passes, b) for b in s.whole] + ([(s.passes, s.cut)] if s.cut is not None else []))
-        quotas = np.array([len(u) for u in units], np.int64)
-        total, words = int(quotas.sum()), sum(s.target for s in self.sources)
+            own = [(_permuted(s.blocks, self.seed, i, p), p, False) for p in range(s.passes)] + [(s.whole, s.passes, False)]
+            own += [(np.array([s.cut]), s.passes, True)] if s.cut is not None else []
+            parts += [(np.full(len(b), i), b, np.full(len(b), p), np.full(len(b), c)) for b, p, c in own]
+        n, block, passed, cut = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 4
+        total, words = len(n), sum(s.target for s in self.sources)
         self.shards = int(max(1, min(SHARDS, total, -(-words // SHARD_WORDS))))
-        self.units: list[tuple[int, int, int, int]] = []
-        self.shares = np.zeros((self.shards, len(units)), np.int64)
-        if not total:
-            return
         capacities = np.full(self.shards, total // self.shards) + (np.arange(self.shards) < total % self.shards)
-        self.shares = split(quotas, capacities, np.random.default_rng(self.seed))
-        for i, own in enumerate(units):
-            of = np.repeat(np.arange(self.shards), self.shares[:, i])
-            self.units += [(i, b, p, int(m)) for (p, b), m in zip(own, of)]
+        quotas = np.bincount(n, minlength=len(self.sources))
+        drawn = list(split(np.flatnonzero(quotas), quotas[quotas > 0], capacities, np.random.default_rng(self.seed)))
+        of = np.concatenate([x for _, x, _ in drawn])
+        count = np.concatenate([c for _, _, c in drawn])
+        shard = np.repeat(np.array([k for k, _, _ in drawn]), [len(x) for _, x, _ in drawn])
+        order = np.lexsort((shard, of))
+        # A source's units go to the shards in order, as many to each as it drew.
+        self.units = {"n": n, "block": block, "pass": passed, "cut": cut.astype(bool), "shard": np.repeat(shard[order], count[order])}
+
+    def _draws(self) -> DataFrame:
+        """For each n and block the draws (mix_pass, mix_shard) of all its rows, and those of the rows before the cut."""
+        u = self.units
+        key = u["n"].astype(np.int64) << 32 | u["block"].astype(np.int64)
+        order = np.lexsort((u["pass"], key))
+        key, cut = key[order], u["cut"][order]
+        found, starts = np.unique(key, return_index=True)
+
+        def lists(some: np.ndarray) -> pa.ListArray:
+            ends = np.concatenate([[0], np.cumsum(some)])
+            values = pa.StructArray.from_arrays([pa.array(u[c][order][some], pa.int32()) for c in ("pass", "shard")], ["mix_pass", "mix_shard"])
+            return pa.ListArray.from_arrays(pa.array(ends[np.append(starts, len(key))], pa.int32()), values)
+
+        table = pa.table({"n": pa.array(found >> 32, pa.int32()), "block": pa.array(found & 0xFFFFFFFF, pa.int32()), "whole": lists(~cut), "part": lists(cut)})
+        draw = "array<struct<mix_pass:int,mix_shard:int>>"
+        df = self.spark.createDataFrame(table, f"n int, block int, whole {draw}, part {draw}") if len(found) else self.spark.createDataFrame([], f"n int, block int, whole {draw}, part {draw}")
+        return F.broadcast(df) if len(found) <= BROADCAST_ROWS else df
 
     def _chosen(self, df: DataFrame, source: str) -> DataFrame:
-        """``df`` (with key) joined to its source's plan; times: how often its row is drawn."""
-        rows = [(s.name, i, s.size, s.target, s.blocks, s.passes, s.whole, -1 if s.cut is None else s.cut, s.cells, s.below, s.keys) for i, s in enumerate(self.sources)]
-        plan = self._plan("p_source string, n int, source_size bigint, target double, blocks int, passes int, whole array<int>, cut int, cells int, below int, taken_keys array<bigint>", rows)
-        last = F.array_contains("whole", self._block()) | ((self._block() == F.col("cut")) & ((self._cell() < F.col("below")) | F.array_contains("taken_keys", F.col("key"))))
-        return df.join(plan, df[source].eqNullSafe(plan["p_source"])).withColumn("block", self._block()).withColumn("times", F.col("passes") + last.cast("int"))
+        """``df`` (with key) with its source's plan, and draws: the passes and shards that its row is drawn in."""
+        rows = [(s.name, i, s.size, s.target, s.blocks, s.cells, s.below, s.keys) for i, s in enumerate(self.sources)]
+        plan = self._plan("p_source string, n int, source_size bigint, target double, blocks int, cells int, below int, taken_keys array<bigint>", rows)
+        before = (self._cell() < F.col("below")) | F.array_contains("taken_keys", F.col("key"))
+        out = df.join(plan, df[source].eqNullSafe(plan["p_source"])).withColumn("block", self._block()).join(self._draws(), ["n", "block"], "left")
+        drawn = F.when(before, F.concat("whole", "part")).otherwise(F.col("whole"))
+        return out.withColumn("draws", F.coalesce(drawn, F.array().cast("array<struct<mix_pass:int,mix_shard:int>>")))
 
     def taken(self) -> DataFrame:
-        """One row per row of the input: doc_id, size, source_size, target, taken."""
-        return self._chosen(self.sized, "source").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+        """One row per row of the input: doc_id, size, source_size, target, taken, and mix_shards that drew it."""
+        return self._chosen(self.sized, "source").select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.mix_shard").alias("mix_shards"))
 
     def rows(self, ordered: bool = True, marked: bool = False) -> DataFrame:
         """The mix: the input's columns, a row for each time it is drawn.
 
-        With ``ordered`` the rows are brought to their shards and are in each
+        With ``ordered`` the rows are brought to their shards, whole shards to a partition, and are in each
         shard's own order there; ``marked`` adds mix_shard and mix_pass.
         """
         given = self.docs.columns
         kept = [f"c{i}" for i in range(len(given))]
         back = {c: k for k, c in zip(kept, given)}
         df = self.docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(kept, given)), row_key(self.seed, self.names["doc_id"], self.names["text"]).alias("key"))
-        drawn = self._chosen(df, back[self.names["source"]]).filter("times > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-        # Passes number the draws of a row: a row of the early-ending pass has it as its last.
-        out = [F.col(k).alias(c) for k, c in zip(kept, given)]
-        if not ordered:
-            return drawn.select(*out)
-        units = self.spark.createDataFrame(self.units or [(0, 0, 0, 0)], "n int, block int, mix_pass int, mix_shard int")
-        if len(self.units) <= 200_000:  # 16 bytes each
-            units = F.broadcast(units)
-        drawn = drawn.join(units, ["n", "block", "mix_pass"])
-        drawn = drawn.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64("mix_shard", "mix_pass", "key"))
-        return drawn.select(*out, *(["mix_shard", "mix_pass"] if marked else []))
+        drawn = self._chosen(df, back[self.names["source"]]).select(*kept, "key", F.explode("draws").alias("draw")).select(*kept, "key", "draw.*")
+        if ordered:
+            writers = min(self.shards, WRITERS)
+            drawn = drawn.repartitionById(writers, F.floor(F.col("mix_shard").cast("long") * writers / self.shards).cast("int"))
+            drawn = drawn.sortWithinPartitions("mix_shard", F.xxhash64("mix_shard", "mix_pass", "key"))
+        return drawn.select(*(F.col(k).alias(c) for k, c in zip(kept, given)), *(["mix_shard", "mix_pass"] if marked else []))
 
 
 def _closest(rows: list[tuple[int, int]], left: float) -> list[int]:

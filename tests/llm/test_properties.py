@@ -58,7 +58,9 @@ def test_targets(sizes):
 def test_split_is_exact(quotas, shards, seed):
     total = sum(quotas)
     capacities = np.full(shards, total // shards) + (np.arange(shards) < total % shards)
-    got = mixing.split(np.array(quotas), capacities, np.random.default_rng(seed))
+    got = np.zeros((shards, len(quotas)), np.int64)
+    for shard, sources, units in mixing.split(np.arange(len(quotas)), np.array(quotas), capacities, np.random.default_rng(seed)):
+        got[shard, sources] += units
     assert got.sum(axis=0).tolist() == quotas and got.sum(axis=1).tolist() == capacities.tolist() and (got >= 0).all()
 
 

@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENC
         ids, at, tokens = [], [], 0
         for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                found = np.append(encode.ids((text or b"").decode()), np.uint16(end_id)).astype("<u2")
+                found = np.append(encode.ids((text or b"").decode()), end_id).astype(encode.dtype)
                 ids.append(found)
                 at.append(doc_id)
                 tokens += len(found)

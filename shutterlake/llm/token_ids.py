@@ -2,7 +2,8 @@
 
 Where a tokenizer's ids are also its merge order, the same vocabulary is handed to
 the faster library that merges by rank; its ids are the same (the tests compare
-them).  Special strings are cut out first, as the library does by default.
+them).  Special strings are cut out first, as the library does by default, and very long
+runs without a boundary are left to that library.
 """
 
 from __future__ import annotations
@@ -22,6 +23,39 @@ BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 SEAM = re.compile(f"(?<=[^{BLANK}]) (?=[^{BLANK}])")
 #: Characters encoded at a time, about.
 SLAB = 1 << 20
+#: A run of white space, or of anything else, of RUN characters or more: the faster library takes quadratic time or stack for it.
+RUN = 4096
+HARD = re.compile(f"(?<![{BLANK}])[{BLANK}]{{{RUN},}}|(?<![^{BLANK}])[^{BLANK}]{{{RUN},}}")
+
+
+def _hard(text: str) -> list[tuple[int, int]]:
+    """Where runs of RUN characters or more begin and end, with what belongs to their pieces.
+
+    The last blank of a run goes with what follows it, and a run of anything else takes the blank before it.
+    """
+    if len(text) < RUN:
+        return []
+    words = text.split()
+    if max(map(len, words), default=0) < RUN and len(text) - sum(map(len, words)) - len(words) < RUN - 1:
+        return []
+    out, at = [], 0
+    for m in HARD.finditer(text):
+        a, b = m.span()
+        a, b = (a, b - (b < len(text))) if _blank(text[a]) else (max(at, a - 1), b)
+        out.append((a, b))
+        at = b
+    return out
+
+
+def _blank(character: str) -> bool:
+    return bool(re.match(f"[{BLANK}]", character))
+
+
+def id_type(tokenizer_json: str) -> np.dtype:
+    """The least type that holds the vocabulary's ids: of 16 or of 32 bits, little-endian."""
+    spec = json.loads(tokenizer_json)
+    most = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])], default=0)
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
 
 
 def _by_rank(tokenizer_json: str):
@@ -43,33 +77,38 @@ def _by_rank(tokenizer_json: str):
 
 
 class Encoder:
-    """Ids as little-endian unsigned 16-bit numbers."""
+    """Ids of whole texts, as numbers of ``dtype``."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are kept in 16 bits; this vocabulary has more")
+        self.tokenizer, self.dtype = Tokenizer.from_str(tokenizer_json), id_type(tokenizer_json)
         self.special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fast = _by_rank(tokenizer_json)
 
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _plain(self, text: str) -> np.ndarray:
-        out, start = [], 0
-        while start < len(text):
-            seam = SEAM.search(text, start + SLAB)
-            end = seam.start() if seam else len(text)
-            out.append(self.fast.encode_to_numpy(text[start:end], disallowed_special=()))
-            start = end
+        out, at = [], 0
+        for a, b in [*_hard(text), (len(text), len(text))]:
+            while at < a:
+                seam = SEAM.search(text, at + SLAB, a)
+                end = seam.start() if seam else a
+                out.append(self.fast.encode_to_numpy(text[at:end], disallowed_special=()))
+                at = end
+            if at < b:
+                out.append(self._library(text[at:b]))
+                at = b
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text, as the library gives them without added special tokens."""
         if self.fast is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+            return self._library(text).astype(self.dtype)
         parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-        return np.concatenate([self._plain(p) if i % 2 == 0 else np.array([self.special[p]], np.uint32) for i, p in enumerate(parts)]).astype("<u2")
+        return np.concatenate([self._plain(p) if i % 2 == 0 else np.array([self.special[p]], np.uint32) for i, p in enumerate(parts)]).astype(self.dtype)
 
 
 _WORKER: dict[int, Encoder] = {}

@@ -6,9 +6,14 @@ headers, digests, title and links; and a ``conversion`` record with the page's p
 text.  Both carry digests of their own blocks, and repeat the source's.  Records with
 no HTML or plain text (by the HTTP Content-Type) have a metadata record only.
 
-Reading takes whole WARC files, plain or of one gzip member a record; writing gives
-one file a task, under another name until complete.  ``responses`` makes response
-records of a table of pages.
+Source and HTTP headers are kept as lists of pairs, repeated ones too.  A body in chunks,
+or coded by gzip or deflate, is decoded before its text is read; digests are of the
+record as it is.
+
+Reading goes through WARC files, plain or of one gzip member a record, without holding
+more than a record and a part of the file; writing gives files of about FILE bytes,
+under another name until complete.  ``responses`` makes response records of a table of
+pages.
 
 Defined results: a page with null html has an empty payload, one with null url the
 URI ``urn:page:<page_id>``; ids come from the page and URI by name-based UUID, with a
@@ -20,9 +25,11 @@ not UTF-8 are replaced; an empty table gives no record; other columns are not us
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import html as entities
+import itertools
 import json
 import re
 import uuid
@@ -41,7 +48,9 @@ VERSION = b"WARC/1.1"
 NAMES, DATE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8"), "2024-01-01T00:00:00Z"
 Headers = list[tuple[str, str]]
 
-SCHEMA = "page_id bigint, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, source_block_digest string, source_payload_digest string, block_digest string, content_length bigint, block string"
+#: Bytes of a file that are read at a time; bytes of records passed on at a time; bytes of a written file, about.
+PART, PASSED, FILE = 1 << 20, 8 << 20, 64 << 20
+SCHEMA = "page_id bigint, record_type string, record_id string, refers_to string, refers_to_target_uri string, refers_to_date string, target_uri string, date string, content_type string, source_block_digest string, source_payload_digest string, block_digest string, content_length bigint, block string"
 
 
 def digest(data: bytes) -> str:
@@ -73,32 +82,96 @@ def _headers(data: bytes) -> Headers:
     return out
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """The decompressed gzip members of a file, or the file itself."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
+def _members(parts: Iterator[bytes]) -> Iterator[Iterator[bytes]]:
+    """The gzip members of a file that comes in parts, decompressed, or the file itself; each is to be used up before the next."""
+    rest = next(parts, b"")
+    while len(rest) < 2 and (part := next(parts, b"")):
+        rest += part
+    if rest[:2] != b"\x1f\x8b":
+        yield itertools.chain([rest], parts)
         return
-    while data:
+    while rest:
         member = zlib.decompressobj(31)
-        yield member.decompress(data)
-        data = member.unused_data
-
 
-def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """Headers and block of each record of a WARC file; a cut-off last record is left out."""
-    for part in _members(data):
-        at = 0
-        while (at := part.find(b"WARC/", at)) >= 0:
-            end = part.find(b"\r\n\r\n", at)
-            if end < 0:
+        def inside(member=member) -> Iterator[bytes]:
+            nonlocal rest
+            while not member.eof:
+                data, rest = rest, b""
+                while data and not member.eof:
+                    yield member.decompress(data, PART)
+                    data = member.unconsumed_tail
+                if member.eof or not (rest := next(parts, b"")):
+                    break
+            rest = member.unused_data
+
+        yield inside()
+        rest = rest or next(parts, b"")
+
+
+def _records(parts: Iterator[bytes]) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each record of one member; a cut-off last record is left out."""
+    held = bytearray()
+
+    def more(least: int) -> bool:
+        while len(held) < least:
+            part = next(parts, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not more(len(held) + 1):
+                return
+        del held[:at]
+        end = 0
+        while (end := held.find(b"\r\n\r\n", max(0, end - 3))) < 0:
+            end = len(held)
+            if not more(end + 1):
+                return
+        headers = _headers(bytes(held[held.find(b"\r\n") + 2 : end]))
+        length = value(headers, "Content-Length") or ""
+        stop = end + 4 + (int(length) if length.isdigit() else 0)
+        if not more(stop):
+            return
+        yield headers, bytes(held[end + 4 : stop])
+        del held[:stop]
+
+
+def parse(data: bytes | Iterator[bytes]) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each record of a WARC file, whole or in parts; broken compression ends it."""
+    with contextlib.suppress(zlib.error):
+        for member in _members(iter([data]) if isinstance(data, bytes) else data):
+            yield from _records(member)
+            for _ in member:  # what is left of a cut-off record
+                pass
+
+
+def _decoded(http: Headers, payload: bytes) -> bytes:
+    """The payload without its transfer and content codings, as far as it can be decoded."""
+    if "chunked" in (value(http, "Transfer-Encoding") or "").lower():
+        out, at = [], 0
+        while (end := payload.find(b"\r\n", at)) >= 0:
+            size = payload[at:end].split(b";")[0].strip()
+            if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
                 break
-            headers = _headers(part[part.find(b"\r\n", at) + 2 : end])
-            length = value(headers, "Content-Length") or ""
-            stop = end + 4 + (int(length) if length.isdigit() else 0)
-            if stop > len(part):
+            if not (n := int(size, 16)):
+                at = len(payload)
                 break
-            yield headers, part[end + 4 : stop]
-            at = stop
+            out.append(payload[end + 2 : end + 2 + n])
+            at = end + 2 + n + 2
+        payload = b"".join(out) if out and at else payload
+    for coding in reversed([x.strip().lower() for k, v in http if k.lower() == "content-encoding" for x in v.split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            coded = zlib.decompressobj(bits)
+            try:
+                payload = coded.decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
 
 
 #: Elements whose content is no text, and those that end a line.
@@ -199,10 +272,11 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     http = _headers(rest)
     kind = (value(http, "Content-Type") or "text/html").lower()
     charset = re.search(r"charset=\"?([\w-]+)", kind)
+    body = _decoded(http, payload)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     textual = kind.startswith(("text/html", "application/xhtml", "text/plain"))
     text, title, links = (page, "", []) if kind.startswith("text/plain") else read_page(page) if textual else ("", "", [])
     block_digest = value(headers, "WARC-Block-Digest") or digest(block)
@@ -215,8 +289,8 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
             return target
 
     about = {
-        "source": dict(headers),
-        "http": {"status": status.decode("latin-1"), "headers": dict(http)},
+        "source": headers,
+        "http": {"status": status.decode("latin-1"), "headers": http},
         "payload": {"length": len(payload), "digest": payload_digest, "actual_digest": digest(payload)},
         "html": {"title": title, "links": [{"attribute": a, "url": absolute(t)} for a, t in links]},
     }
@@ -259,15 +333,29 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """record of each record in the WARC files under ``path``, with page_id null; a file is one task's."""
+    """record of each record in the WARC files under ``path``, with page_id null; files are dealt out and read in parts."""
+    from .token_output import _file_system
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                made = [serialise(h, block) for h, block in parse(data)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(made), pa.int64()), pa.array(made, pa.binary())], ["page_id", "record"])
+        def passed(made: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(made), pa.int64()), pa.array(made, pa.binary())], ["page_id", "record"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id bigint, record binary")
+        for b in batches:
+            for name in b.column("path").to_pylist():
+                system, place = _file_system(name)
+                made, held = [], 0
+                with system.open_input_stream(place, compression=None) as f:
+                    for headers, block in parse(iter(lambda f=f: f.read(PART), b"")):
+                        made.append(serialise(headers, block))
+                        held += len(made[-1])
+                        if held >= PASSED:
+                            yield passed(made)
+                            made, held = [], 0
+                if made:
+                    yield passed(made)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition("path").mapInArrow(run, "page_id bigint, record binary")
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -280,14 +368,30 @@ def derivatives(records: DataFrame) -> DataFrame:
                 for headers, block in parse(record or b""):
                     for h, data in derive(headers, block):
                         get = lambda name, h=h: value(h, name)
-                        rows.append((page_id, get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), get("WARC-Date"), get("Content-Type"), get("WARC-Source-Block-Digest"), get("WARC-Source-Payload-Digest"), get("WARC-Block-Digest"), len(data), data.decode("utf-8", "replace")))
+                        rows.append((page_id, get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Refers-To-Target-URI"), get("WARC-Refers-To-Date"), get("WARC-Target-URI"), get("WARC-Date"), get("Content-Type"), get("WARC-Source-Block-Digest"), get("WARC-Source-Payload-Digest"), get("WARC-Block-Digest"), len(data), data.decode("utf-8", "replace")))
             if rows:
-                kinds = [pa.int64(), *[pa.string()] * 9, pa.int64(), pa.string()]
+                kinds = [pa.int64(), *[pa.string()] * 11, pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return records.mapInArrow(run, SCHEMA)
 
 
+#: Headers of a written record, and the columns that have them.
+WRITTEN = [
+    ("WARC-Type", "record_type"),
+    ("WARC-Record-ID", "record_id"),
+    ("WARC-Refers-To", "refers_to"),
+    ("WARC-Refers-To-Target-URI", "refers_to_target_uri"),
+    ("WARC-Refers-To-Date", "refers_to_date"),
+    ("WARC-Target-URI", "target_uri"),
+    ("WARC-Date", "date"),
+    ("Content-Type", "content_type"),
+    ("WARC-Source-Block-Digest", "source_block_digest"),
+    ("WARC-Source-Payload-Digest", "source_payload_digest"),
+    ("WARC-Block-Digest", "block_digest"),
+]
+
+
 def write(derived: DataFrame, out: str) -> DataFrame:
     """Write derivatives as gzipped WARC files under ``out``, one a task; returns file, records and bytes."""
     from pyspark import TaskContext
@@ -295,23 +399,23 @@ def write(derived: DataFrame, out: str) -> DataFrame:
     from .token_output import _put
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, part, n = f"derived-{TaskContext.get().partitionId():06d}", 0, 0
+        name, part = f"derived-{TaskContext.get().partitionId():06d}", 0
         held: list[bytes] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            data = b"".join(held)
-            _put(out, f"{name}-{part:04d}.warc.gz", data)
-            return pa.RecordBatch.from_arrays([pa.array([f"{name}-{part:04d}.warc.gz"]), pa.array([n], pa.int64()), pa.array([len(data)], pa.int64())], ["file", "records", "bytes"])
+            _put(out, f"{name}-{part:04d}.warc.gz", b"".join(held))
+            return pa.RecordBatch.from_arrays([pa.array([f"{name}-{part:04d}.warc.gz"]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
 
         for b in batches:
             for r in b.to_pylist():
-                headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]), ("Content-Type", r["content_type"]), ("WARC-Source-Block-Digest", r["source_block_digest"]), ("WARC-Source-Payload-Digest", r["source_payload_digest"]), ("WARC-Block-Digest", r["block_digest"])]
+                headers = [(h, r[c]) for h, c in WRITTEN if r[c] is not None]
                 held.append(gzip.compress(serialise(headers, (r["block"] or "").encode()), 6, mtime=0))
-                n += 1
-                if sum(map(len, held[-1:])) and n % 4096 == 0:
+                size += len(held[-1])
+                if size >= FILE:
                     yield flush()
                     held.clear()
-                    part, n = part + 1, 0
+                    part, size = part + 1, 0
         if held:
             yield flush()
 

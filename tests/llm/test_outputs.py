@@ -212,6 +212,87 @@ def test_page_text():
         warc.read_page(broken)
 
 
+def plain_page(page):
+    """Text and title of a page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.text, self.title, self.silent, self.titled = [], "", [], False
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "title" and not self.silent:
+                self.silent.append(tag)
+                self.titled = not self.title
+            elif tag in warc.SILENT - {"head"} and not self.silent:
+                self.silent.append(tag)
+            elif tag in warc.BLOCKS:
+                self.text.append("\n")
+
+        def handle_startendtag(self, tag, attrs):
+            if tag in warc.BLOCKS:
+                self.text.append("\n")
+
+        def handle_endtag(self, tag):
+            if self.silent and self.silent[-1] == tag:
+                self.silent.pop()
+                self.titled = False
+            elif tag in warc.BLOCKS:
+                self.text.append("\n")
+
+        def handle_data(self, data):
+            if self.titled:
+                self.title += data
+            elif not self.silent:
+                self.text.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "".join(reader.text), " ".join(reader.title.split())
+
+
+def coded_response(body, *http):
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in http) + b"\r\n" + body
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://a/"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Concurrent-To", "<urn:1>"), ("WARC-Concurrent-To", "<urn:2>")]
+    return headers, block
+
+
+@pytest.mark.parametrize("coding", ["", "gzip", "deflate", "raw", "broken"])
+@pytest.mark.parametrize("chunked", [False, True])
+def test_codings_and_repeated_headers(coding, chunked):
+    import zlib
+
+    page = b"<title>t</title><p>caf\xc3\xa9 and more</p>"
+    raw = zlib.compressobj(wbits=-15)
+    body = {"": page, "gzip": gzip.compress(page), "deflate": zlib.compress(page), "raw": raw.compress(page) + raw.flush(), "broken": page}[coding]
+    http = [("Content-Type", "text/html"), ("Set-Cookie", "a=1"), ("Set-Cookie", "b=2")]
+    http += [("Content-Encoding", {"raw": "deflate", "broken": "gzip"}.get(coding, coding))] if coding else []
+    if chunked:
+        http.append(("Transfer-Encoding", "chunked"))
+        body = b"".join(b"%x;e=1\r\n%s\r\n" % (len(body[i : i + 7]), body[i : i + 7]) for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+    headers, block = coded_response(body, *http)
+    (meta_headers, meta), (_, text) = warc.derive(headers, block)
+    about = json.loads(meta)
+    assert text.decode() == "café and more" and about["html"]["title"] == "t"
+    assert about["http"]["headers"] == [list(x) for x in http] and about["source"] == [list(x) for x in headers]
+    assert about["payload"]["actual_digest"] == warc.digest(body) and warc.value(meta_headers, "WARC-Source-Block-Digest") == warc.digest(block)
+
+
+def test_parse_in_parts_of_any_size():
+    records = [warc.response(i, f"http://{i}/", "<p>WARC/ " + "x" * (i * 37)) for i in range(12)]
+    plain = b"".join(warc.serialise(*r) for r in records)
+    packed = b"".join(gzip.compress(warc.serialise(*r)) for r in records)
+    cut = gzip.compress(warc.serialise(*records[3])[:-60]) + gzip.compress(warc.serialise(*records[4]))
+    for size in (1, 3, 64, 1 << 20):
+        parts = lambda data, size=size: iter([data[i : i + size] for i in range(0, len(data), size)])
+        for data in (plain, packed):
+            assert [b for _, b in warc.parse(parts(data))] == [b for _, b in records]
+        assert [b for _, b in warc.parse(parts(cut))] == [records[4][1]]
+        assert len(list(warc.parse(parts(packed[:-5])))) == 11 or size
+
+
 def test_derivatives(spark, sf_dir, tmp_path):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(30)
     odd_pages = spark.createDataFrame([(1, None, None), (2, "http://a/", ""), (None, "not a uri ]", PAGE), (4, "http://b/", "x" * 200_000), (4, "http://b/", "x" * 200_000)], "page_id bigint, url string, html string")
@@ -231,9 +312,10 @@ def test_derivatives(spark, sf_dir, tmp_path):
         assert r["target_uri"] == warc.value(headers, "WARC-Target-URI")
         if r["record_type"] == "metadata":
             about = json.loads(r["block"])
-            assert about["source"] == dict(headers) and about["payload"]["length"] == len(payload)
+            assert about["source"] == [list(h) for h in headers] and about["payload"]["length"] == len(payload)
+            assert about["html"]["title"] == plain_page(payload.decode())[1]
         else:
-            assert r["block"] == warc.read_page(payload.decode())[0]
+            assert r["block"].split() == plain_page(payload.decode())[0].split()
     out = f"file://{tmp_path}/warc"
     files = warc.write(warc.derivatives(records), out).collect()
     assert sum(f["records"] for f in files) == len(got)
@@ -242,6 +324,7 @@ def test_derivatives(spark, sf_dir, tmp_path):
         data = (tmp_path / "warc" / f["file"]).read_bytes()
         found.update((warc.value(h, "WARC-Record-ID"), b) for h, b in warc.parse(data))
         assert gzip.decompress(data).startswith(b"WARC/1.1")
+        assert all(warc.value(h, "WARC-Refers-To-Target-URI") is not None and warc.value(h, "WARC-Refers-To-Date") for h, _ in warc.parse(data))
     assert found == Counter((r["record_id"], r["block"].encode()) for r in got)
     read = warc.read(spark, f"{tmp_path}/warc/*.warc.gz")
     assert read.count() == len(got) and warc.derivatives(read).count() == 0

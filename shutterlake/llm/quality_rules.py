@@ -53,7 +53,7 @@ BINS = 64
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = whole_text(f"`{text_col}`")
-    bare = F.regexp_replace(text, rf"\A{SPACE}|{SPACE}\z", "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
     def counted(w: Column) -> Column:

@@ -5,6 +5,7 @@ import uuid
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +72,54 @@ def test_frequent_pretokens_cover_all_rows(docs):
     assert token_counts.frequent_pretokens(docs)[:5] == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]]
 
 
+def test_frequent_pretokens_through_a_tree(docs, monkeypatch):
+    want = token_counts.frequent_pretokens(docs)
+    monkeypatch.setattr(token_counts, "MERGED", 3)
+    got = token_counts.frequent_pretokens(docs.repartition(20))
+    assert got[:20] == want[:20] and len(got) <= token_counts.FREQUENT
+    plan = docs.sparkSession.conf.get("spark.sql.adaptive.enabled")
+    assert plan in ("true", "false") and token_counts.frequent_pretokens(docs.limit(0)) == []
+
+
+RUNS = {"blanks": " " * 2_000_000, "newlines": "\n" * 2_000_000, "inside": "x" + " " * 1_000_000 + "y", "kinds": "ab\t" + " \n" * 600_000 + "\u3000end of it", "letters": "a" * 300_000, "ideographs": " 日本語" * 3 + "日本語" * 60_000 + "\n\n x", "ends": "word" + " " * 5000 + "  " + "z" * 5000 + " " * 4096 + "\n"}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_token_ids_of_long_runs(name):
+    """Equal to the library's, and within seconds."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    own, text = token_ids.Encoder(token_ids.tokenizer_text(path)), RUNS[name]
+    began = time.time()
+    got = own.ids(text)
+    assert time.time() - began < 10
+    assert got.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_operators_on_long_runs(spark, tmp_path):
+    """Two million blanks or newlines are no more work than other texts of that size."""
+    import time
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, RUNS["blanks"]), (2, RUNS["newlines"]), (3, RUNS["inside"])], "doc_id bigint, text string")
+    n = {d: len(token_ids.Encoder(token_ids.tokenizer_text(path)).ids(t)) for d, t in texts(df)}
+    from shutterlake.llm import token_output
+
+    for run in (
+        lambda: packing.pack_documents(df, path).groupBy("doc_id").agg(F.sum("length").alias("n")),
+        lambda: token_output.write_shards(df, path, f"file://{tmp_path}/runs"),
+        lambda: quality_rules.statistics(df),
+    ):
+        began = time.time()
+        got = run().collect()
+        assert time.time() - began < 40
+        if "n" in got[0]:
+            assert {r["doc_id"]: r["n"] - 1 for r in got} == n
+
+
 def test_token_ids_equal_the_library(docs):
     from tokenizers import Tokenizer
 
@@ -245,15 +294,20 @@ def test_mixing(which, request):
         passes = min(3, int(want[s] // sizes[s])) if sizes[s] else 0
         best = min(abs(passes * sizes[s] + x - want[s]) for x in sums)
         assert abs(of[s] - want[s]) <= best + (passes < 3 and 1e-6)  # the nearest that whole rows allow
-    assert mix.shares.sum() == len(mix.units) and (not mix.units or mix.shares.sum(axis=1).max() - mix.shares.sum(axis=1).min() <= 1)
+    units = Counter(mix.units["shard"].tolist())
+    assert not units or (max(units.values()) - min(units.values()) <= 1 and len(units) == mix.shards)
+    # What is taken is what the shards drew, and in those shards.
+    of_shard = lambda rows: Counter((r["doc_id"], m) for r in rows for m in r["mix_shards"])
+    assert of_shard(got) == Counter((r["doc_id"], r["mix_shard"]) for r in drawn)
+    assert all(r["taken"] == r["size"] * len(r["mix_shards"]) for r in got)
     again = mixing.Mix(df.repartition(3))
-    assert Counter(map(tuple, again.taken().collect())) == Counter(map(tuple, got))
+    assert Counter(map(str, again.taken().collect())) == Counter(map(str, got))
     assert Counter(map(str, again.rows(marked=True).collect())) == Counter(map(str, drawn))
 
 
 def test_mixing_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 20)
-    monkeypatch.setattr(mixing, "BLOCKS", 8)
+    monkeypatch.setattr(mixing, "BLOCKS", 60)
     monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.repeat(F.lit(" v"), (F.col("id") % 7).cast("int"))).alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
     mix = mixing.Mix(df)
@@ -263,6 +317,29 @@ def test_mixing_many_blocks(spark, monkeypatch):
     assert mix.shards > 5 and mix.rows().count() > 0
     per = mix.rows(marked=True).groupBy("doc_id", "mix_pass").count().filter("count > 1").count()
     assert per == 0
+    held = mix.rows(marked=True).withColumn("at", F.spark_partition_id()).groupBy("at").agg(F.min("mix_shard").alias("a"), F.max("mix_shard").alias("b")).orderBy("at").collect()
+    assert len(held) > 5 and all(x["b"] < y["a"] for x, y in zip(held, held[1:]))  # ranges of shards
+
+
+def test_mixing_goes_through_the_tree(spark, docs, monkeypatch):
+    """What is taken, and where, is what the tree has dealt out."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    want = mixing.Mix(docs).taken().select(F.explode("mix_shards").alias("m")).groupBy("m").count().collect()
+    assert len(want) > 4
+    tree = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda *node: [(0, x, c) for _, x, c in tree(*node)])
+    got = mixing.Mix(docs).taken().select(F.explode("mix_shards").alias("m")).groupBy("m").count().collect()
+    assert [r["m"] for r in got] == [0]
+    monkeypatch.setattr(mixing, "split", lambda *a: [(0, np.empty(0, int), np.empty(0, int))])
+    with pytest.raises(IndexError):  # no tree, no draws
+        mixing.Mix(docs).taken()
+
+
+def test_mixing_of_many_sources(spark):
+    """No bound on sources: each takes its own target."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.repeat(F.lit(" v"), (F.col("id") % 3).cast("int"))).alias("text"), F.concat(F.lit("s"), F.col("id") % 3000).alias("source"))
+    got = mixing.Mix(df).taken().join(df, "doc_id").groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("size")).collect()
+    assert len(got) == 3000 and all(abs(r["taken"] - r["target"]) <= r["size"] for r in got)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])

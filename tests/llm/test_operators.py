@@ -397,35 +397,94 @@ def test_quality_statistics(which, request):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
-def test_quality_verdict_against_numpy(spark, docs):
-    """The estimates of the whole table and the verdicts, by numpy."""
-    import numpy as np
-
-    stats = quality_rules.statistics(docs.select("doc_id", "lang", "source", "text")).withColumn("base_failed", quality_rules.base_failed()).select("*", *quality_rules._vector()).collect()
-    x = np.array([[r[f"x{i}"] for i in range(5)] for r in stats if not r["base_failed"]]) / quality_rules.SCALE
-    judged = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
-    floors = np.array(quality_rules.FLOORS)
-    if len(x) >= quality_rules.ROWS:
-        pytest.skip("groups of their own")
+def mcd_of(x):
+    """The estimate of one group, in numpy: (mean, covariance)."""
+    q = quality_rules
+    p, floors = 5, np.array(q.FLOORS)
 
     def mid(v):
-        bins = np.sort(np.floor(v * quality_rules.BINS))
-        return (bins[-(-len(bins) // 2) - 1] + 0.5) / quality_rules.BINS
-
-    m = np.array([mid(x[:, i]) for i in range(5)])
-    d = np.array([mid(np.abs(x[:, i] - m[i])) for i in range(5)]) * 1.4826
-    cov = np.diag(d**2 + floors**2)
-    factor = quality_rules.HALF / quality_rules.chi_squared(7, quality_rules.quantile(5, quality_rules.HALF))
-    for _ in range(quality_rules.STEPS):
-        dist = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-        bins = np.floor(np.log2(dist + 1e-9) * quality_rules.BINS)
-        near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * quality_rules.HALF)) - 1]]
-        m, cov = near.mean(axis=0), factor * np.cov(near.T, bias=True) + np.diag(floors**2)
-    dist = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-    ids = [r["doc_id"] for r in stats if not r["base_failed"]]
-    assert np.allclose([judged[i]["distance"] for i in ids], dist, rtol=1e-6, atol=1e-6)
-    cut = quality_rules.quantile(5, 1 - quality_rules.CUT)
-    assert [judged[i]["kept"] for i in ids] == (dist <= cut).tolist()
+        bins = np.sort(np.floor(v * q.BINS))
+        return (bins[-(-len(bins) // 2) - 1] + 0.5) / q.BINS
+
+    def factor(cov):
+        g = np.zeros((p, p))
+        for j in range(p):
+            g[j, j] = np.sqrt(max(cov[j, j] - g[j, :j] @ g[j, :j], floors[j] ** 2))
+            for i in range(j + 1, p):
+                g[i, j] = (cov[i, j] - g[i, :j] @ g[j, :j]) / g[j, j]
+        return g
+
+    def distance(x, m, cov):
+        return (np.linalg.solve(factor(cov), (x - m).T) ** 2).sum(axis=0)
+
+    def logdet(cov):
+        return 2 * np.log(np.diag(factor(cov))).sum()
+
+    def step(m, cov):
+        bins = np.floor(np.log2(distance(x, m, cov) + 1e-9) * q.OCTAVE)
+        near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * q.HALF)) - 1]]
+        return near.mean(axis=0), q.HALF / q.chi_squared(p + 2, q.quantile(p, q.HALF)) * np.cov(near.T, bias=True).reshape(p, p)
+
+    mcd_of.distance = distance
+    m = np.array([mid(x[:, i]) for i in range(p)])
+    d = np.maximum([mid(np.abs(x[:, i] - m[i])) * 1.4826 for i in range(p)], floors)
+    z = (x - m) / d
+    t = np.rint(np.tanh(z) * q.SCALE)
+    u = np.rint(z / np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-9)[:, None] * q.SCALE) / q.SCALE
+    cov = np.cov(t.T, bias=True).reshape(p, p)
+    own = np.sqrt(np.maximum(np.diag(cov), 1))
+    corr = cov / np.outer(own, own)
+    np.fill_diagonal(corr, 1)
+    tried = []
+    for k, shape in enumerate((np.eye(p), corr, p * u.T @ u / len(u))):
+        now = (m, shape * np.outer(d, d))
+        for _ in range(q.FIRST):
+            now = step(*now)
+        tried.append((logdet(now[1]), k, now))
+    least, _, now = min(tried, key=lambda x: x[:2])
+    for _ in range(q.STEPS):
+        then = step(*now)
+        if logdet(then[1]) >= least - q.SETTLED:
+            break
+        least, now = logdet(then[1]), then
+    return now
+
+
+def test_quality_verdict_against_numpy(spark, docs):
+    """Estimates of each language and source, drawn to the coarser ones, and the verdicts, by numpy."""
+    q = quality_rules
+    stats = q.statistics(docs.select("doc_id", "lang", "source", "text")).withColumn("base_failed", q.base_failed()).select("*", *q._vector()).collect()
+    rows = [r for r in stats if not r["base_failed"]]
+    x = np.array([[r[f"x{i}"] for i in range(5)] for r in rows]) / q.SCALE
+    judged = {r["doc_id"]: r for r in q.judged(docs).collect()}
+
+    def drawn(own, n, coarse):
+        w = n / (n + q.PRIOR)
+        off = own[0] - coarse[0]
+        return w * own[0] + (1 - w) * coarse[0], w * own[1] + (1 - w) * coarse[1] + w * (1 - w) * np.outer(off, off)
+
+    everything, checked = mcd_of(x), 0
+    for lang in {r["lang"] for r in rows}:
+        some = np.array([r["lang"] == lang for r in rows])
+        of_lang = drawn(mcd_of(x[some]), some.sum(), everything)
+        for source in {r["source"] for r, s in zip(rows, some) if s}:
+            at = some & np.array([r["source"] == source for r in rows])
+            m, cov = drawn(mcd_of(x[at]), at.sum(), of_lang)
+            want = mcd_of.distance(x[at], m, cov)
+            own = [judged[r["doc_id"]] for r, k in zip(rows, at) if k]
+            assert np.allclose([r["distance"] for r in own], want, rtol=1e-5, atol=1e-6)
+            assert [r["kept"] for r in own] == (want <= q.quantile(5, 1 - q.CUT)).tolist()
+            checked += 1
+    assert checked > 8
+
+
+def test_quality_rejects_at_the_stated_rate(spark, sf_dir):
+    """Of texts without symbols about CUT are rejected at most; those full of symbols all go."""
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    got = quality_rules.judged(docs).filter("NOT base_failed").collect()
+    sound, junk = [r for r in got if r["n_symbols"] == 0], [r for r in got if r["n_symbols"] > r["n_words"]]
+    assert sum(not r["kept"] for r in sound) <= max(2, 3 * quality_rules.CUT * len(sound))
+    assert len(junk) > 20 and not any(r["kept"] for r in junk)
 
 
 def test_quality_rejects_a_third_of_identical_outliers(spark, docs):
@@ -436,7 +495,7 @@ def test_quality_rejects_a_third_of_identical_outliers(spark, docs):
     got = quality_rules.judged(both).filter("NOT base_failed").collect()
     bad, good = [r for r in got if r["doc_id"] >= 10**9], [r for r in got if r["doc_id"] < 10**9]
     assert len(bad) >= 0.3 * len(got) and not any(r["kept"] for r in bad)
-    assert sum(r["kept"] for r in good) >= 0.8 * len(good)
+    assert sum(r["kept"] for r in good if r["n_symbols"] == 0) >= 0.99 * sum(r["n_symbols"] == 0 for r in good)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])

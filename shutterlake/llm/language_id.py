@@ -5,9 +5,9 @@ anything else a word boundary, that do not cross a boundary.  Each is hashed to
 of BUCKETS embeddings; a text is the mean of its subwords' embeddings, and a linear
 softmax over that mean gives the languages' probabilities.  Embeddings and softmax
 are trained together by stochastic gradient descent in numpy, on a bounded sample of
-labelled rows (SAMPLE a language, SAMPLE_IN_ALL of many languages).  What a row contributes to the sample is a
-histogram over buckets made on the executors from its whole text, so the driver
-holds a bounded number of such histograms.
+labelled rows (SAMPLE a language, SAMPLE_IN_ALL of many languages, one of each at least).  What a row contributes to the sample is a
+histogram over buckets made on the executors from its whole text; of these the driver
+holds SAMPLE_BYTES at most.
 
 For prediction the two layers are multiplied out to a table of BUCKETS rows and one
 column a language (proven size: 512 KiB for 4 languages, linear in their number),
@@ -23,6 +23,8 @@ its score, or the share of its subwords that training has seen, is below all but
 SPARED of the calibration rows.  Fewer of these than 1/SPARED have their lower tail
 drawn out to that share (``floor``).  The sample takes as many rows of each language,
 so the share of all texts that is spared differs with the languages' shares of them.
+The model then states two rates: how many calibration rows it rejects, and how many of
+the same with their letters shuffled, which are of no language.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
 is rejected; with no labelled row to learn from, every text is; repeated rows give
@@ -50,8 +52,8 @@ BITS, DIM, LENGTHS = 15, 16, (2, 3, 4)
 BUCKETS = 1 << BITS
 #: Labelled rows a language that training and calibration use, about, and in all; the part of them that calibrates is 1 in KEPT_OUT.
 SAMPLE, SAMPLE_IN_ALL, KEPT_OUT = 1_000, 16_000, 5
-#: Languages that a model may have.
-LANGUAGES = 400
+#: Bytes of histograms that the driver takes, at most (the rows of least hash).
+SAMPLE_BYTES = 128 << 20
 EPOCHS, RATE = 6, 0.5
 #: log2 of the number of bits that tell which subwords training has seen; a subword's bucket is the top of its bit's number.
 SEEN_BITS = 24
@@ -185,6 +187,9 @@ class Model:
     temperature: float = 1.0
     least_score: float = 0.0
     least_seen: float = 0.0
+    #: Shares rejected of the calibration rows, and of these with their letters shuffled.
+    rejects: float = 0.0
+    rejects_noise: float = 0.0
 
     def scores(self, total: np.ndarray) -> np.ndarray:
         k = len(self.langs)
@@ -236,9 +241,10 @@ def drawn(docs: DataFrame, usable: Column, rows: int = SAMPLE, id_col: str = "do
     """
     spark = docs.sparkSession
     labelled = docs.filter(F.col(f"`{lang_col}`").isNotNull() & usable).select(F.col(f"`{lang_col}`").alias("lang"), F.abs(F.xxhash64(F.lit("language sample"), F.col(f"`{id_col}`")) % (1 << 30)).alias("h"), F.col(f"`{text_col}`").alias("text"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     rows = min(rows, max(1, SAMPLE_IN_ALL // max(1, len(counts))))
-    bounds = F.broadcast(spark.createDataFrame([(r["lang"], min(1 << 30, -(-rows * (1 << 30) // r["count"]))) for r in counts], "lang string, below bigint"))
+    bounds = spark.createDataFrame([(r["lang"], min(1 << 30, -(-rows * (1 << 30) // r["count"]))) for r in counts], "lang string, below bigint")
+    bounds = F.broadcast(bounds) if len(counts) <= SAMPLE_IN_ALL else bounds
     return written(labelled.join(bounds, "lang").filter("h < below").select("lang", "h", "text"), "language-sample"), rows * 3 // 2 * max(1, len(counts))
 
 
@@ -249,10 +255,14 @@ def sample(some: DataFrame, most: int) -> list[tuple[str, int, np.ndarray, np.nd
         for batch in slices(batches, "text"):
             bins = [histogram(t) for t in batch.column("text").to_pylist()]
             at = [np.flatnonzero(b) for b in bins]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([b[a].astype("<i4").tobytes() for a, b in zip(at, bins)], pa.binary())], ["lang", "h", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([b[a].astype("<u4").tobytes() for a, b in zip(at, bins)], pa.binary())], ["lang", "h", "at", "n"])
 
-    got = some.mapInArrow(features, "lang string, h bigint, at binary, n binary").orderBy("h", "lang", F.xxhash64("at", "n")).limit(most).collect()
-    return [(r["lang"], r["h"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got]
+    order = ["h", "lang", F.xxhash64("at", "n")]
+    got = written(some.mapInArrow(features, "lang string, h bigint, at binary, n binary"), "language-histograms")
+    sizes = got.select("h", (F.octet_length("at") + F.octet_length("n")).alias("size")).orderBy("h").toArrow()
+    fit = int(np.searchsorted(np.cumsum(sizes["size"].to_numpy()), SAMPLE_BYTES, "right"))
+    rows = got.orderBy(*order).limit(min(most, max(1, fit))).collect()
+    return [(r["lang"], r["h"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<u4")) for r in rows]
 
 
 def seen_bits(texts: DataFrame) -> np.ndarray:
@@ -284,6 +294,30 @@ def _seen_shares(texts: DataFrame, model: Model, most: int) -> np.ndarray:
     return texts.select("text").mapInArrow(run, "share double").limit(most).toArrow()["share"].to_numpy()
 
 
+def shuffled(text: str | None) -> str | None:
+    """The text with its letters dealt anew to the letters' places: of no language, in the same script."""
+    if not text:
+        return text
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").copy()
+    at = np.flatnonzero(letters()[codes])
+    codes[at] = np.random.default_rng(len(codes)).permutation(codes[at])
+    return codes.tobytes().decode("utf-32-le", "replace")
+
+
+def _rates(texts: DataFrame, model: Model) -> tuple[float, float]:
+    """The shares of ``texts`` that the model rejects, as they are and with their letters shuffled."""
+    held = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            given = [t for t in batch.column("text").to_pylist() if t]
+            own, noise = (held.value.predict(x)[2].sum() for x in (given, [shuffled(t) for t in given])) if given else (0, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (len(given), int(own), int(noise))], ["n", "own", "noise"])
+
+    n, own, noise = texts.select("text").mapInArrow(run, "n bigint, own bigint, noise bigint").agg(F.sum("n"), F.sum("own"), F.sum("noise")).first()
+    return (own / n, noise / n) if n else (0.0, 0.0)
+
+
 def train(rows: list[tuple[str, int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
     """Fit embeddings and softmax by stochastic gradient descent, then calibrate."""
     rows = [r for r in rows if len(r[2])]
@@ -341,6 +375,7 @@ def fit(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE, **col
         share = _seen_shares(some.filter(kept_out), model, most)
         share = share if len(share) else _seen_shares(learned, model, most)
         model.least_seen = floor(share) if len(share) else 0.0
+        model.rejects, model.rejects_noise = _rates(some.filter(kept_out), model)
     return model
 
 

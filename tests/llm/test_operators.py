@@ -253,6 +253,68 @@ def test_language_id_rejects_what_a_full_sample_has_not_taught(spark, sf_dir):
         assert rejected([r["text"].lower().translate(script) for r in held[:300]]) >= 0.95
 
 
+def plain_prediction(model, text):
+    """The model's answer for one text, by loops over its subwords."""
+    sums, n, seen = [0.0] * len(model.langs), 0, 0
+    runs, now = [], []
+    for c in text or "":
+        if c.isalpha():
+            now.append(ord(c.lower()[0]))
+        else:
+            runs.append(now)
+            now = []
+    for codes in [*runs, now]:
+        padded = [0, *codes, 0] if codes else []
+        for k in language_id.LENGTHS:
+            for i in range(len(padded) - k + 1):
+                h = k
+                for code in padded[i : i + k]:
+                    h = ((h ^ code) * 0x01000193) & 0xFFFFFFFF
+                    h ^= h >> 15
+                at = (h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language_id.SEEN_BITS)
+                row = model.table[at >> (language_id.SEEN_BITS - language_id.BITS)]
+                sums = [a + float(b) for a, b in zip(sums, row)]
+                n += 1
+                seen += int(model.seen[at >> 6]) >> (at & 63) & 1
+    if not any(runs) and not now:
+        return "und", 0.0, True
+    logits = [x / max(n, 1) / model.temperature for x in sums]
+    e = [np.exp(x - max(logits)) for x in logits]
+    score = max(e) / sum(e)
+    return model.langs[int(np.argmax(logits))], score, bool(score < model.least_score or seen / max(n, 1) < model.least_seen)
+
+
+def test_language_prediction_by_loops(docs):
+    model = language_id.fit(docs, queries.language_fold())
+    some = [t for _, t in texts(docs)][:60] + [x[1] for x in ODD if len(x[1] or "") < 1000] + ["a", "x y", "Ünï cödé"]
+    langs, score, rejected = model.predict(some)
+    for t, lang, s, r in zip(some, langs, score, rejected):
+        want = plain_prediction(model, t)
+        assert lang == want[0] and abs(s - want[1]) < 1e-4
+        assert r == want[2] or abs(s - model.least_score) < 1e-4 or not t
+
+
+def test_language_rates(spark, sf_dir):
+    """The rates that the model states hold on texts that it has not learned from."""
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, queries.language_fold())
+    held = [r["text"] for r in docs.filter(~queries.language_fold()).filter("length(text) >= 40").orderBy("doc_id").limit(1500).collect()]
+    share = lambda some: model.predict(some)[2].mean()
+    assert model.rejects <= 0.005 and share(held) <= 0.005
+    assert model.rejects_noise >= 0.9 and share([language_id.shuffled(t) for t in held]) >= 0.9
+
+
+def test_language_of_many(spark, monkeypatch):
+    """No bound on languages; the histograms on the driver are bounded in bytes."""
+    rows = [(i, f"{chr(0x4E00 + 7 * (i % 450))}{chr(0x5000 + 7 * (i % 450))} " * 6, f"l{i % 450:03d}", "s", 1) for i in range(2700)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert len(language_id.fit(df, queries.language_fold()).langs) == 450
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 20_000)
+    some, most = language_id.drawn(df, queries.language_fold())
+    got = language_id.sample(some, most)
+    assert 10 < len(got) < 2700 and sum(6 * len(at) for _, _, at, _ in got) <= 20_000
+
+
 def test_language_pieces_do_not_depend_on_company(docs, monkeypatch):
     import numpy as np
 

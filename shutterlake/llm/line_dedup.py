@@ -9,8 +9,9 @@
    (MinHash by one permutation, without empty bins).  A band is ROWS of the bins,
    fixed at random.
 3. Lines that share a band are candidates; bands of one line only are left out by an
-   aggregate that combines on the map side.  Of each band the least line is the pivot.
-   Each line is compared with the least of its pivots first, then with those pivots
+   aggregate that combines on the map side.  Of each band the pivot is the line whose
+   bands have most lines in all: of texts copied with changes, the one that was copied.
+   Each line is compared with the most central of its pivots first, then with those pivots
    that are not of its component yet; lastly, within each band, lines of different
    components are compared with each other.  So any two lines that share a band are of
    one component or have been compared, and a group of thousands of variants costs
@@ -49,19 +50,18 @@ from .common import as_bytes, let, slices
 
 #: Characters of a shingle; the similarity that links lines.
 SHINGLE, SIMILARITY = 5, 0.8
-#: log2 of the bins of a signature; bands, and bins of a band; bins whose last four bits are a line's sketch (16 a word).
-BITS, BANDS, ROWS, SKETCH = 8, 15, 6, 64
+#: log2 of the bins of a signature; bands, and bins of a band; words of a sketch, of 32 bins' last two bits each.
+BITS, BANDS, ROWS, WORDS = 8, 15, 6, 8
 #: Deviations by which two sketches may miss the similarity.
-DEVIATIONS = 4
+DEVIATIONS = 3
 #: Characters that are hashed at a time, and lines that are signed at a time; lines that a task remembers to have signed.
 PART, SIGNED, REMEMBERED = 1 << 16, 2048, 1 << 18
 #: Bytes of a table that may be broadcast once its rows are counted.
 BROADCAST = 40 << 20
 #: Odd multipliers of the hash, and the value of an empty bin.
 STEP, SPREAD, EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xFFFFFFFFFFFFFFFF)
-#: The bins of the bands, and of the sketch.
+#: The bins of the bands.
 BAND_BINS = np.random.default_rng(6).permutation(1 << BITS)[: BANDS * ROWS].reshape(BANDS, ROWS)
-SKETCH_BINS = np.random.default_rng(7).permutation(1 << BITS)[:SKETCH]
 LINES = "doc_id bigint, key bigint, line_no int, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>"
 
 
@@ -129,13 +129,13 @@ def minima(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each line's bands; its sketch: words of 16 bins' last four bits each, then the number of filled bins."""
+    """Hashes of each line's bands; its sketch: WORDS words, then the number of filled bins."""
     least, filled = minima(lines)
     bands = np.zeros((len(lines), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         bands = (bands ^ least[:, BAND_BINS[:, r]]) * STEP
         bands ^= bands >> np.uint64(29)
-    digits = (least[:, SKETCH_BINS] & np.uint64(15)).reshape(len(lines), -1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    digits = (least & np.uint64(3)).reshape(len(lines), WORDS, 32) << np.arange(0, 64, 2, dtype=np.uint64)
     words = np.bitwise_or.reduce(digits, axis=2)
     return bands.view(np.int64), np.column_stack([words.view(np.int64), filled])
 
@@ -200,13 +200,13 @@ def _may_be_similar(a: Column, b: Column) -> Column:
 
     As many bins vary on their own as either line fills.
     """
-    words, same = SKETCH // 16, F.lit(SKETCH)
-    for k in range(words):
+    bins, same = 32 * WORDS, F.lit(32 * WORDS)
+    for k in range(WORDS):
         x = a[k].bitwiseXOR(b[k])
-        apart = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-        same = same - F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111)))
-    own = F.least(a[words], b[words], F.lit(SKETCH)).cast("double")
-    return same >= SKETCH * (SIMILARITY - DEVIATIONS * F.sqrt(SIMILARITY * (1 - SIMILARITY) / own) - 1 / own)
+        same = same - F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    own = F.least(a[WORDS], b[WORDS]).cast("double")
+    chance = 0.25 + 0.75 * SIMILARITY  # bins of other lines agree in two bits one time in four
+    return same >= bins * (chance - DEVIATIONS * F.sqrt(chance * (1 - chance) / own) - 1 / own)
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -236,11 +236,14 @@ def edges(members: DataFrame, texts: DataFrame) -> DataFrame:
         x, y = texts.select(c("id").alias("u"), c("line").alias("x")), texts.select(c("id").alias("v"), c("line").alias("y"))
         return written(pairs.join(x, "u").join(y, "v").filter(_similar(c("x"), c("y"))).select("u", "v"), what)
 
-    pivots = members.groupBy("band").agg(F.min(F.struct("id", "sketch")).alias("pivot"))
-    held = _few(written(pivots.select("band", c("pivot.id").alias("v"), c("pivot.sketch").alias("other")), "pivots"), 128)
-    near = members.join(held, "band").filter((c("id") != c("v")) & _may_be_similar(c("sketch"), c("other"))).select(c("id").alias("u"), "v")
+    sizes = _few(written(members.groupBy("band").agg(F.count(F.lit(1)).alias("k")), "band-sizes"))
+    central = members.select("band", "id").join(sizes, "band").groupBy("id").agg(F.sum("k").alias("central"))
+    placed = written(members.join(_few(written(central, "central")), "id").select("band", "id", "sketch", "central"), "placed")
+    pivots = placed.groupBy("band").agg(F.max(F.struct("central", -c("id"), "sketch")).alias("pivot"))
+    held = _few(written(pivots.select("band", (-c("pivot.col2")).alias("v"), c("pivot.sketch").alias("other"), c("pivot.central").alias("central")), "pivots"), 160)
+    near = members.join(held, "band").filter((c("id") != c("v")) & _may_be_similar(c("sketch"), c("other"))).select(c("id").alias("u"), "v", "central")
     near = written(near.distinct(), "near-pivots")
-    found = exact(near.groupBy("u").agg(F.min("v").alias("v")), "links-0")
+    found = exact(near.groupBy("u").agg(F.max_by("v", F.struct("central", -c("v"))).alias("v")), "links-0")
     joined = written(components(found), "joined-0")
     rest = _rooted(near, joined, "u").withColumnRenamed("root", "from")
     rest = _rooted(rest, joined, "v").filter("root <> from").select("u", "v")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import os
 import sys
+import threading
 import time
 from datetime import date, datetime
 
@@ -32,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--until", type=day, metavar="DATE")
     scan.add_argument("--camera", metavar="TEXT", help="only bodies whose name contains TEXT")
     scan.add_argument("--lens", metavar="TEXT", help="only lenses whose name contains TEXT")
-    scan.add_argument("--precise-gps", action="store_true", help="positions to five decimal places: enough to find a front door")
+    scan.add_argument("--precise-gps", action="store_true", help="positions to five decimal places, about a metre")
     scan.add_argument("--no-gps", action="store_true", help="no positions at all")
     scan.add_argument("--cluster-km", type=float, default=25.0, metavar="KM")
     scan.add_argument("--workers", type=int, metavar="N", help="tasks that read at once")
@@ -49,6 +51,35 @@ def session(workers: int | None):
     return active or build.getOrCreate()
 
 
+class Progress:
+    """Says how many parts of a job are done while it runs, at intervals, from the tasks that Spark has ended."""
+
+    def __init__(self, spark, say, every: float = 2.0):
+        self.context, self.say, self.every = spark.sparkContext, say, every
+        self.over, self.thread = threading.Event(), threading.Thread(target=self._run, daemon=True)
+
+    def now(self) -> str | None:
+        tracker, done, parts = self.context.statusTracker(), 0, 0
+        for stage in tracker.getActiveStageIds():
+            if info := tracker.getStageInfo(stage):
+                done, parts = done + info.numCompletedTasks, parts + info.numTasks
+        return f"  reading: {done} of {parts} parts" if parts else None
+
+    def _run(self) -> None:
+        said = None
+        while not self.over.wait(self.every):
+            if (now := self.now()) and now != said:
+                self.say(said := now)
+
+    def __enter__(self) -> Progress:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.thread.join()
+
+
 def scan(args: argparse.Namespace, say=None) -> int:
     from .plans.report import report
     from .sinks import document, page, text
@@ -59,7 +90,7 @@ def scan(args: argparse.Namespace, say=None) -> int:
     wrong = (
         f"not a folder: {args.folder}" if not os.path.isdir(folder)
         else "--precise-gps and --no-gps exclude each other" if args.precise_gps and args.no_gps
-        else "--since is after --until" if args.since and args.until and args.since > args.until
+        else "the day of --until comes before that of --since" if args.since and args.until and args.since > args.until
         else None
     )
     if wrong:
@@ -70,7 +101,8 @@ def scan(args: argparse.Namespace, say=None) -> int:
     spark, began = session(args.workers), time.perf_counter()
     bronze = read_images(spark, folder).persist()
     try:
-        files = bronze.count()
+        with contextlib.nullcontext() if args.quiet else Progress(spark, say):
+            files = bronze.count()
         took = max(time.perf_counter() - began, 1e-9)
         if not files:
             say(f"{PROGRAM}: no image files under {folder}")

@@ -72,6 +72,11 @@ def top(counts: DataFrame, key: str, k: int) -> DataFrame:
     return with_share(counts).orderBy(F.desc("n"), key).limit(k)
 
 
+def histogram(counts: DataFrame, bucket: Column) -> DataFrame:
+    """bucket, n and share of a counter regrouped by ``bucket`` (of its key), in order; null buckets are left out."""
+    return with_share(regrouped(counts, bucket, "bucket").filter("bucket IS NOT NULL")).orderBy("bucket")
+
+
 def mode(counts: DataFrame, key: str) -> Column:
     """The key with the largest n, the smallest on ties, as an aggregate."""
     return F.max_by(key, F.struct(F.col("n"), -F.col(key)))

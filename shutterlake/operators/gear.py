@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import END_PART, ZOOM_RATIO
+from ..schema import END_PART, ZOOM_BASES, ZOOM_RATIO, ZOOM_VERDICTS
 from .counters import nearest_rank
 
 
@@ -66,7 +66,7 @@ def zoom_usage(frames: DataFrame, at_least: int = 20, distinct: int = 4) -> Data
         "*",
         F.when(told, c("declared_low")).otherwise(c("used_low")).alias("low"),
         F.when(told, c("declared_high")).otherwise(c("used_high")).alias("high"),
-        F.when(told, "declared range").otherwise("range you have used").alias("basis"),
+        F.when(told, ZOOM_BASES["declared"]).otherwise(ZOOM_BASES["used"]).alias("basis"),
     )
     counts = frames.filter(c("focal").isNotNull()).groupBy("lens", "focal").agg(F.count(F.lit(1)).alias("n"))
     at = (F.log(F.least(F.greatest(c("focal"), c("low")), c("high"))) - F.log(c("low"))) / (F.log(c("high")) - F.log(c("low")))
@@ -75,7 +75,7 @@ def zoom_usage(frames: DataFrame, at_least: int = 20, distinct: int = 4) -> Data
     keys = ["lens", "frames", "low", "high", "basis", "declared_low", "declared_high", "used_low", "used_high"]
     out = placed.groupBy(*keys).agg(part(c("at") <= END_PART).alias("wide_end"), part((c("at") > END_PART) & (c("at") < 1 - END_PART)).alias("middle"), part((c("at") > END_PART) & (c("at") >= 1 - END_PART)).alias("long_end"))
     ends = (c("wide_end") + c("long_end") >= 0.65) & (c("wide_end") >= 0.2) & (c("long_end") >= 0.2)
-    verdict = F.when(ends, "shot at both ends").when(c("wide_end") >= 0.6, "lives at the wide end").when(c("long_end") >= 0.6, "lives at the long end").otherwise("uses the range")
+    verdict = F.when(ends, ZOOM_VERDICTS["ends"]).when(c("wide_end") >= 0.6, ZOOM_VERDICTS["wide"]).when(c("long_end") >= 0.6, ZOOM_VERDICTS["long"]).otherwise(ZOOM_VERDICTS["all"])
     return out.select(
         "lens",
         c("frames").alias("n"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import civil_twilight, format_coordinate, haversine_km, round_coord
+from ..functions.scalars import civil_twilight, format_coordinate, haversine_km, in_golden, round_coord
 from ..workspace import written
-from .counters import counter
+from .counters import counter, mode
 from .graph import components
 
 
@@ -68,18 +68,13 @@ def clusters(cell_table: DataFrame, radius_km: float = 25.0, exact: bool = False
 
 def places(cluster_table: DataFrame, decimals: int = 2, k: int = 40) -> DataFrame:
     """The k largest clusters as shown: rounded again, labelled, with their share."""
-    total = F.sum("n").over(_all())
+    total = cluster_table.agg(F.sum("n").alias("total"))  # one row
     lat, lon = round_coord("latitude", decimals), round_coord("longitude", decimals)
-    shown = cluster_table.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), "latitude", "longitude").limit(k)
+    shown = cluster_table.orderBy(F.desc("n"), "latitude", "longitude").limit(k)
+    shown = shown.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total"))
     return shown.select(format_coordinate(lat, lon, decimals).alias("label"), lat.alias("latitude"), lon.alias("longitude"), "n", "share", "days", F.round("radius_km", 1).alias("radius_km"), "first", "last").orderBy(F.desc("n"), "latitude", "longitude")
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def busiest_cell(cell_table: DataFrame) -> DataFrame:
     """One row: the cell with most frames, the southern and western on ties."""
     return cell_table.orderBy(F.desc("n"), "latitude", "longitude").limit(1).select("latitude", "longitude", "n")
@@ -87,12 +82,20 @@ def busiest_cell(cell_table: DataFrame) -> DataFrame:
 
 def clock_offset(frames: DataFrame, busiest: DataFrame) -> DataFrame:
     """busiest's row with tz_minutes and basis: the commonest recorded offset, else by longitude."""
-    modal = counter(frames, "tz_minutes").agg(F.max_by("tz_minutes", F.struct(F.col("n"), -F.col("tz_minutes"))).alias("modal"))
+    offsets = counter(frames, "tz_minutes")
+    modal = offsets.agg(mode(offsets, "tz_minutes").alias("modal"))
     out = busiest.join(F.broadcast(modal), how="left")
     told = F.col("modal").isNotNull()
     return out.select("latitude", "longitude", F.coalesce("modal", (F.rint(F.col("longitude") / 15) * 60).cast("int")).alias("tz_minutes"), F.when(told, "OffsetTime tag").otherwise("estimated from longitude").alias("basis"))
 
 
+def golden_share(hours: DataFrame, window: DataFrame) -> DataFrame:
+    """One row: golden_count, the frames of hours in the light around the window's mean dawn and dusk, and golden_share."""
+    bright = in_golden("hour", "dawn_mean", "dusk_mean")
+    out = hours.join(F.broadcast(window.select("dawn_mean", "dusk_mean")))
+    return out.agg(F.coalesce(F.sum(F.when(bright, F.col("n"))), F.lit(0)).alias("golden_count"), F.sum("n").alias("n")).select("golden_count", F.coalesce(F.try_divide("golden_count", "n"), F.lit(0.0)).alias("golden_share"))
+
+
 def twilight_window(at: DataFrame) -> DataFrame:
     """For each row of latitude, longitude, tz_minutes: dawn and dusk by the clock over the 21sts of a year.
 

@@ -120,9 +120,8 @@ def _time(frames: DataFrame, cells: DataFrame | None, o: Options) -> dict:
         if not window["samples"]:
             window, missing, polar = None, "undefined", window["latitude"]
         else:
-            dawn, dusk = window["dawn_mean"], window["dusk_mean"]
-            golden = sum(h["count"] for h in hours if dawn <= h["hour"] < dawn + 1.5 or dusk - 1 <= h["hour"] < dusk + 0.5)
-            window |= {"golden_count": golden, "golden_share": golden / (sum(h["count"] for h in hours) or 1)}
+            light = frames.sparkSession.createDataFrame([(window["dawn_mean"], window["dusk_mean"])], "dawn_mean double, dusk_mean double")
+            window |= one(places.golden_share(calendar.hours(frames), light))
     return out | {"twilight": window, "twilight_missing": missing, "twilight_latitude": polar}
 
 

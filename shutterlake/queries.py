@@ -368,23 +368,27 @@ def cells(frames):
     return places.cells(frames).drop("days")
 
 
-@query(
-    _CELLS
-    + f""", i AS (SELECT row_number() OVER (ORDER BY latitude, longitude) AS id, *, floor(latitude / (25 / 111.0)) AS r, floor(longitude * cos(radians(latitude)) / (25 / 111.0)) AS c FROM cells),
+_CLUSTERS = _CELLS + f""", i AS (SELECT row_number() OVER (ORDER BY latitude, longitude) AS id, *, floor(latitude / (25 / 111.0)) AS r, floor(longitude * cos(radians(latitude)) / (25 / 111.0)) AS c FROM cells),
   e AS (SELECT a.id AS u, b.id AS v FROM i a JOIN i b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND {_KM.format(a='a', b='b')} <= 25),
   t AS (SELECT id AS u, id AS v FROM i UNION SELECT t.u, e.v FROM t JOIN e ON t.v = e.u),
   m AS (SELECT u AS id, min(v) AS root FROM t GROUP BY u),
-  k AS (SELECT root, cast(sum(cast(latitude AS DECIMAL(12, 5)) * n) AS DOUBLE) / cast(sum(n) AS DOUBLE) AS latitude, cast(sum(cast(longitude AS DECIMAL(12, 5)) * n) AS DOUBLE) / cast(sum(n) AS DOUBLE) AS longitude, sum(n) AS n, count(*) AS cells FROM i JOIN m USING (id) GROUP BY root),
+  k AS (SELECT root, cast(sum(cast(latitude AS DECIMAL(12, 5)) * n) AS DOUBLE) / cast(sum(n) AS DOUBLE) AS latitude, cast(sum(cast(longitude AS DECIMAL(12, 5)) * n) AS DOUBLE) / cast(sum(n) AS DOUBLE) AS longitude, sum(n) AS n, count(*) AS cells, min(first) AS first, max(last) AS last FROM i JOIN m USING (id) GROUP BY root),
   d AS (SELECT m.root, count(DISTINCT day) AS days FROM p JOIN i ON p.latitude = i.latitude AND p.longitude = i.longitude JOIN m USING (id) GROUP BY m.root),
-  w AS (SELECT k.root, max({_KM.format(a='k', b='i')}) AS km FROM k JOIN m USING (root) JOIN i USING (id) GROUP BY k.root)
-SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, cast(n AS bigint) AS n, cells, days, round(km, 6) AS radius_km FROM k JOIN d USING (root) JOIN w USING (root)"""
-)
+  w AS (SELECT k.root, max({_KM.format(a='k', b='i')}) AS km FROM k JOIN m USING (root) JOIN i USING (id) GROUP BY k.root)"""
+
+
+@query(_CLUSTERS + " SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, cast(n AS bigint) AS n, cells, days, round(km, 6) AS radius_km FROM k JOIN d USING (root) JOIN w USING (root)")
 def clusters(frames):
     out = places.clusters(places.cells(frames))
     return out.select(F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "n", "cells", "days", F.round("radius_km", 6).alias("radius_km"))
 
 
-@query()
+@query(
+    _CLUSTERS
+    + f""", s AS (SELECT *, cast(round(cast(latitude AS DECIMAL(12, 6)), 2) AS DOUBLE) + 0.0 AS lat, cast(round(cast(longitude AS DECIMAL(12, 6)), 2) AS DOUBLE) + 0.0 AS lon FROM k JOIN d USING (root) JOIN w USING (root))
+SELECT format('{{:.2f}}', abs(lat)) || CASE WHEN lat >= 0 THEN ' N, ' ELSE ' S, ' END || format('{{:.2f}}', abs(lon)) || CASE WHEN lon >= 0 THEN ' E' ELSE ' W' END AS label, lat AS latitude, lon AS longitude,
+  cast(n AS bigint) AS n, n / (SELECT sum(n) FROM s) AS share, days, round(km, 1) AS radius_km, {_stamp('first')} AS first, {_stamp('last')} AS last FROM s ORDER BY s.n DESC, s.latitude, s.longitude LIMIT 40"""
+)
 def places_shown(frames):
     return places.places(places.clusters(places.cells(frames)))
 
@@ -405,6 +409,25 @@ SELECT latitude, longitude, cast(tz_minutes AS bigint) AS tz_minutes, basis, rou
   count(*) FILTER (angle IS NULL) AS polar_samples, count(angle) AS samples FROM v GROUP BY latitude, longitude, tz_minutes, basis"""
 
 
+def _light_sql(query: str) -> str:
+    """``query`` over ``v``: local dawn (lawn) and dusk (lusk) of the busiest cell's sampled days."""
+    days = _SUN.partition("\nSELECT latitude")[0]
+    return f"""{_CELLS}, b AS (SELECT latitude, longitude FROM cells ORDER BY n DESC, latitude, longitude LIMIT 1),
+  z AS (SELECT tz_minutes FROM p WHERE tz_minutes IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, tz_minutes LIMIT 1),
+  a AS (SELECT latitude, longitude, tz_minutes, 'OffsetTime tag' AS basis FROM b, z), {days} {query}"""
+
+
+@query(
+    _light_sql(
+        """, l AS (SELECT avg(lawn) AS dawn, avg(lusk) AS dusk FROM v), taken_at AS (SELECT hour(taken) AS hour FROM p WHERE taken IS NOT NULL)
+SELECT count(*) FILTER (hour >= dawn AND hour < dawn + 1.5 OR hour >= dusk - 1 AND hour < dusk + 0.5) AS golden_count, count(*) FILTER (hour >= dawn AND hour < dawn + 1.5 OR hour >= dusk - 1 AND hour < dusk + 0.5) / count(*) AS golden_share FROM taken_at, l"""
+    )
+)
+def golden_share(frames):
+    window = places.twilight_window(places.clock_offset(frames, places.busiest_cell(places.cells(frames))))
+    return places.golden_share(calendar.hours(frames), window)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if c.startswith(("dawn", "dusk")) else F.col(c) for c in df.columns))
 
@@ -438,6 +461,13 @@ def absences_focal(frames):
     return report.absences(frames, "focal", schema.NOTABLE_FOCALS, 0.05)
 
 
+@query(_absence_sql("focal", schema.NOTABLE_FOCALS).replace("FROM p WHERE focal IS NOT NULL", "FROM p WHERE focal IS NOT NULL AND focal NOT BETWEEN 46 AND 54").replace("THRESHOLD", "0.01"))
+def absences_at_the_default(frames):
+    """A gap around one notable focal length, at the threshold that the report uses."""
+    seen = frames.filter("focal IS NULL OR focal NOT BETWEEN 46 AND 54")
+    return ordered.absences(counters.counter(seen, "focal"), "focal", schema.NOTABLE_FOCALS, F.lit(frames.count()), Options().absence_threshold)
+
+
 @query(_absence_sql("fnumber", schema.NOTABLE_FSTOPS).replace("THRESHOLD", "0.12"))
 def absences_aperture(frames):
     return report.absences(frames, "fnumber", schema.NOTABLE_FSTOPS, 0.12)
@@ -454,12 +484,7 @@ def quiet_hours_runs(frames):
     return ordered.runs(calendar.hours(frames).filter("share < 0.0417"), "hour", 24)
 
 
-@query()
-def habits_found(frames):
-    return habits.habits(frames)
-
-
-@query(
+_METRICS = (
     _snapped("fnumber", schema.STANDARD_FSTOPS, "stop")
     + """, st AS (SELECT stop, sum(n) AS n FROM snapped GROUP BY 1), io AS (SELECT iso, count(*) AS n FROM p WHERE iso IS NOT NULL GROUP BY 1), hr AS (SELECT hour(taken) AS hour, count(*) AS n FROM p WHERE taken IS NOT NULL GROUP BY 1),
   bd AS (SELECT camera, count(*) AS n FROM p GROUP BY 1), g AS (SELECT lens, min(fnumber) AS widest FROM p GROUP BY lens HAVING count(*) >= 10)
@@ -474,10 +499,42 @@ SELECT (SELECT count(*) FROM p) AS photos,
   (SELECT count(flash) FROM p) AS flash_known, (SELECT count(*) FILTER (flash) FROM p) AS flash_fired, (SELECT count(*) FILTER (flash) / count(flash) FROM p) AS flash_share,
   (SELECT count(*) FROM bd) AS bodies, (SELECT camera FROM bd ORDER BY n DESC, camera LIMIT 1) AS body, (SELECT max(n) / sum(n) FROM bd) AS body_share"""
 )
+
+
+@query(_METRICS)
 def habit_metrics(frames):
     return habits.metrics(frames)
 
 
+def _habits_sql() -> str:
+    """The rules as a union, over the one row of metrics."""
+    percent = lambda x: f"cast(cast(round_even({x} * 100, 0) AS bigint) AS varchar) || ' percent"
+    rules = [
+        ("wide_share >= 0.5", "aperture", "'You shoot wide open'", percent("wide_share") + " of the frames on lenses of known maximum aperture are within a third of a stop of it.'"),
+        ("wide_share <= 0.08", "aperture", "'The widest stops go unused'", percent("wide_share") + " of frames are near the widest aperture of their lens.'"),
+        ("stop_share >= 0.3", "aperture", "'One stop above all: f/' || regexp_replace(format('{:.1f}', stop), '[.]0$', '')", percent("stop_share") + " of frames were taken at it.'"),
+        ("mid_share >= 0.5", "aperture", "'Half of everything at f/8 to f/11'", percent("mid_share") + " of frames use these two stops.'"),
+        ("reciprocal_known >= 40 AND slow_share >= 0.25", "shutter", "'Many times too long for the hand'", percent("slow_share") + " used a time longer than one over the focal length.'"),
+        ("fast_share >= 0.35", "shutter", "'Mostly very short times'", percent("fast_share") + " of frames are at 1/1000 or faster.'"),
+        ("long_n > 0 AND long_share >= 0.05", "shutter", "'Long exposures are a habit'", "cast(long_n AS varchar) || ' frames took a second or more, ' || " + percent("long_share") + " of all.'"),
+        ("base_share >= 0.6", "iso", "'Sensitivity is left at its lowest'", percent("base_share") + " of frames are at ISO ' || cast(base AS varchar) || '.'"),
+        ("iso_values >= 20 AND base_share < 0.2", "iso", "'Sensitivity floats freely'", "cast(iso_values AS varchar) || ' different values are in use, and none is a clear base.'"),
+        ("photos >= 50 AND hour_share >= 0.2", "time", "'A favourite hour, with ' || " + percent("hour_share") + "'", "'The hour from ' || lpad(cast(hour AS varchar), 2, '0') || ':00 has ' || cast(hour_n AS varchar) || ' frames.'"),
+        ("photos >= 50 AND weekend_share >= 0.6", "time", "'Weekends come first'", percent("weekend_share") + " of frames are of a Saturday or Sunday.'"),
+        ("flash_known >= 40 AND flash_share <= 0.01", "light", "'Next to no flash'", "'It fired on ' || cast(flash_fired AS varchar) || ' of ' || cast(flash_known AS varchar) || ' frames that say.'"),
+        ("bodies >= 2 AND body_share >= 0.85", "gear", "'A single body dominates'", "body || ' took ' || " + percent("body_share") + " of the library.'"),
+    ]
+    head, _, row = _METRICS.partition("\nSELECT (SELECT count(*) FROM p) AS photos")
+    union = " UNION ALL ".join(f"SELECT {i} AS rule, '{kind}' AS kind, {title} AS title, {detail} AS detail FROM metrics WHERE {test}" for i, (test, kind, title, detail) in enumerate(rules, 1))
+    return f"{head}, metrics AS (SELECT (SELECT count(*) FROM p) AS photos{row}), r AS ({union}) SELECT cast(rule AS bigint) AS rule, kind, title, detail FROM r"
+
+
+@query(_habits_sql())
+def habits_found(frames):
+    return habits.habits(frames)
+
+
+
 # -- scalar functions over columns of values ----------------------------------------------
 
 
@@ -491,9 +548,9 @@ def shutter_text(frames):
     return values.select("exposure", scalars.format_shutter("exposure").alias("text"), scalars.shutter_stop("exposure").alias("stop"))
 
 
-@query("SELECT path, focal, width_mp, utc FROM (SELECT path, focal, cast(24.0 AS DOUBLE) AS width_mp, " + _stamp("taken - to_minutes(coalesce(tz_minutes, 0))") + " AS utc FROM p)")
+@query("SELECT path, focal, length(path) * 300 * cast(1000 + coalesce(iso, 0) AS bigint) / 1e6 AS width_mp, " + _stamp("taken - to_minutes(coalesce(tz_minutes, 0))") + " AS utc FROM p")
 def derived_columns(frames):
-    return frames.select("path", "focal", scalars.megapixels(F.lit(6000), F.lit(4000)).alias("width_mp"), scalars.iso_time(scalars.taken_utc()).alias("utc"))
+    return frames.select("path", "focal", scalars.megapixels(F.length("path") * 300, 1000 + F.coalesce("iso", F.lit(0))).alias("width_mp"), scalars.iso_time(scalars.taken_utc()).alias("utc"))
 
 
 # -- documents -----------------------------------------------------------------------------

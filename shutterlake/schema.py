@@ -19,6 +19,9 @@ STANDARD_ISOS = [50, 64, 80, 100, 125, 160, 200, 250, 320, 400, 500, 640, 800, 1
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 SHUTTER_LABELS = {-15: "1/32000", -14: "1/16000", -13: "1/8000", -12: "1/4000", -11: "1/2000", -10: "1/1000", -9: "1/500", -8: "1/250", -7: "1/125", -6: "1/60", -5: "1/30", -4: "1/15", -3: "1/8", -2: "1/4", -1: "1/2"}
+#: What a report calls the use and the range of a zoom.
+ZOOM_VERDICTS = {"ends": "shot at both ends", "wide": "lives at the wide end", "long": "lives at the long end", "all": "uses the range"}
+ZOOM_BASES = {"declared": "declared range", "used": "range you have used"}
 NO_BODY, NO_LENS = "Unrecorded body", "Unrecorded lens"
 #: A zoom has this ratio of its ends or more; this part of its range (in logarithms) is an end.
 ZOOM_RATIO, END_PART = 1.15, 0.15

@@ -137,7 +137,7 @@ def exposure(r: dict) -> str:
         parts += [bars(a["histogram"], "label"), note(f"Median f/{short(a['median'])}." + (f" Wide open in {percent(wide['share'])} of frames." if wide else ""))]
     if s["available"]:
         rule = s["reciprocal"]
-        parts += [bars(s["histogram"], "label"), note(f"{s['fastest']} to {s['slowest']}, median {s['median']}." + (f" {percent(rule['share'])} slower than one over the focal length." if rule else ""))]
+        parts += [bars(s["histogram"], "label"), note(f"{s['fastest']} to {s['slowest']}, median {s['median']}." + (f" {percent(rule['share'])} were longer than the focal length allows by the rule of thumb." if rule else ""))]
     return section("exposure", "Aperture and shutter", *(parts or [note("No frame has either.")]))
 
 

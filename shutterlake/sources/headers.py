@@ -341,7 +341,7 @@ def tags(view: View) -> dict:
         raise HeaderError("no TIFF byte order")
     magic, first = struct.unpack(order + "HI", head[2:8])
     if magic == BIG:
-        raise HeaderError("BigTIFF is not supported")
+        raise HeaderError("a TIFF of 64-bit offsets is not read")
     if magic not in MAGICS:
         raise HeaderError(f"TIFF magic {magic} is not known")
     out: dict = {}

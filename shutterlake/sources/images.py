@@ -1,15 +1,19 @@
 """Image folders as bronze rows: a parallel walk, then header reads in Arrow batches.
 
-``read_images`` walks the first levels on the driver and the subtrees beneath them in
-tasks, so a listing of any size is never in one place, then deals files out to tasks.
-``spark.read.format("imageheaders")`` does the same behind a data source, with the
-paths held by its partitions.
+``read_images`` looks for folders on the driver, in the first levels only, and lists files
+in tasks: of each of those levels' folders its own, and the subtrees beneath them.  The
+paths are then dealt out for reading.  So no listing is ever in one place but that of
+one folder's own files, which one task streams.
+``spark.read.format("imageheaders")`` is the same behind a data source, which cannot deal
+paths anew: each folder or subtree is given to ``slices`` partitions, and each of these
+lists it and reads the files whose names hash to its own number.
 """
 
 from __future__ import annotations
 
 import os
 import stat
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +27,8 @@ from .headers import EXTENSIONS, UNSUPPORTED, HeaderError, read_tags
 
 #: Fixed: folders that hold no photographs of their owner.
 SKIPPED = {".git", ".svn", ".hg", "__pycache__", ".cache", "@eaDir", ".Trashes", "$RECYCLE.BIN", "Thumbs", ".thumbnails"}
-#: Folders at which the walk goes over to tasks; files of a task that reads, about.
-FOLDERS, FILES = 64, 2_000
+#: Folders at which the walk goes over to tasks.
+FOLDERS = 64
 COLUMNS = [x.split(" ")[0] for x in BRONZE.split(", ")]
 
 
@@ -32,6 +36,26 @@ def extension(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
 
+def subfolders(folder: str) -> list[str]:
+    """The folders in a folder that a walk goes into."""
+    out = []
+    try:
+        with os.scandir(folder) as found:
+            out = [e.path for e in found if not e.name.startswith(".") and e.name not in SKIPPED and e.is_dir(follow_symlinks=False)]
+    except OSError:
+        pass
+    return sorted(out)
+
+
+def roots(root: str, folders: int) -> tuple[list[str], list[str]]:
+    """Folders whose own files are to be listed, and subtrees that are to be walked, ``folders`` or a few more in all."""
+    flat, trees = [], [root]
+    while trees and len(trees) + len(flat) < folders:
+        flat.append(trees.pop(0))
+        trees += subfolders(flat[-1])
+    return flat, trees
+
+
 def listed(folder: str, wanted: frozenset[str]) -> tuple[list[str], list[str]]:
     """Wanted files and subfolders of a folder; no hidden names, no links, no error for what cannot be read."""
     files, folders = [], []
@@ -100,18 +124,15 @@ def batches(paths: Iterator[str], size: int = 500) -> Iterator[pa.RecordBatch]:
 
 def read_images(spark: SparkSession, root: str, extensions=None, folders: int = FOLDERS, tasks: int | None = None) -> DataFrame:
     """Bronze rows of all images under ``root`` (a folder that executors can see)."""
-    wanted, here, todo = frozenset(extensions or EXTENSIONS), [], [root]
-    while todo and len(todo) < folders:
-        files, below = listed(todo.pop(0), wanted)
-        here += files
-        todo += below
-    found = spark.createDataFrame([(p, False) for p in here] + [(p, True) for p in todo], "path string, folder boolean").repartition(max(1, min(len(here) // FILES + len(todo), 4096)))
+    wanted = frozenset(extensions or EXTENSIONS)
+    flat, trees = roots(root, folders)
+    found = spark.createDataFrame([(p, False) for p in flat] + [(p, True) for p in trees], "path string, tree boolean").repartition(len(flat) + len(trees))
 
     def expand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for path, folder in zip(b.column("path").to_pylist(), b.column("folder").to_pylist()):
+            for path, tree in zip(b.column("path").to_pylist(), b.column("tree").to_pylist()):
                 own: list[str] = []
-                for p in walk(path, wanted) if folder else [path]:
+                for p in walk(path, wanted) if tree else listed(path, wanted)[0]:
                     own.append(p)
                     if len(own) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(own)], ["path"])
@@ -127,26 +148,27 @@ def read_images(spark: SparkSession, root: str, extensions=None, folders: int =
     return paths.mapInArrow(read, BRONZE)
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class _Slice(InputPartition):
+    def __init__(self, folder: str, tree: bool, number: int, of: int):
+        self.folder, self.tree, self.number, self.of = folder, tree, number, of
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.per = options["path"], int(options.get("filespertask", FILES))
-        self.wanted = [x.strip() for x in options["extensions"].split(",")] if options.get("extensions") else None
+        self.root, self.slices, self.folders = options["path"], int(options.get("slices", 4)), int(options.get("folders", FOLDERS))
+        self.wanted = frozenset([x.strip() for x in options["extensions"].split(",")] if options.get("extensions") else EXTENSIONS)
 
-    def partitions(self) -> list[_Files]:
-        paths = list(walk(self.root, self.wanted))
-        return [_Files(paths[i : i + self.per]) for i in range(0, len(paths), self.per)] or [_Files([])]
+    def partitions(self) -> list[_Slice]:
+        flat, trees = roots(self.root, self.folders)
+        return [_Slice(p, tree, i, self.slices) for places, tree in ((flat, False), (trees, True)) for p in places for i in range(self.slices)]
 
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        yield from batches(iter(partition.paths))
+    def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
+        paths = walk(part.folder, self.wanted) if part.tree else iter(listed(part.folder, self.wanted)[0])
+        yield from batches(p for p in paths if zlib.crc32(os.fsencode(p)) % part.of == part.number)
 
 
 class ImageHeaders(DataSource):
-    """``spark.read.format("imageheaders").load(folder)``; options: extensions, filesPerTask."""
+    """``spark.read.format("imageheaders").load(folder)``; options: extensions, slices, folders."""
 
     @classmethod
     def name(cls) -> str:

@@ -154,8 +154,8 @@ def test_walk_and_readers(spark, tmp_path):
         got = images.read_images(spark, root, folders=folders)
         assert sorted(r["path"] for r in got.select("path").collect()) == want
     images.register(spark)
-    source = spark.read.format("imageheaders").option("filesPerTask", 7).load(root)
-    assert source.rdd.getNumPartitions() == 7
+    source = spark.read.format("imageheaders").option("slices", 3).option("folders", 2).load(root)
+    assert source.rdd.getNumPartitions() > 6
     assert sorted(map(str, source.collect())) == sorted(map(str, got.collect()))
     assert got.filter("status = 'ok'").count() == 42
     assert images.read_images(spark, str(tmp_path / "none")).count() == 0

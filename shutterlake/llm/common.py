@@ -30,6 +30,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Groups that hold one in HOT of all rows or more are joined by broadcast: HOT groups at most.
+HOT = 4096
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with their group's row of ``groups`` (both written tables; ``size`` is the group's number of rows).
+
+    A group of a third of all rows is no task's burden: the few large groups are broadcast.
+    """
+    total = rows.count()
+    hot, rest = (groups.filter(F.col(size) * HOT >= total), groups.filter(F.col(size) * HOT < total))
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -11,9 +11,8 @@ is run again under its name gets the rows that it got before.  One process at a
 may write to an index.  Only DataFrame operations are used.
 
 Rows are first counted per digest with map-side combining, so a text that a
-third of all rows share costs one partial row per task.  Rows join their group
-on the digest as a plain sort-merge join whose large partitions adaptive
-execution may split.
+third of all rows share costs one partial row per task.  Rows then join their groups,
+of which the few large ones are broadcast, so no key is one task's burden.
 
 Defined results: null text counts as empty; texts are equal when identical after
 lower-casing A-Z only; of equal texts in a batch the row with the largest doc_id
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import absolute, get, listed, named, put, remove, temporary, written
-from .common import whole_text
+from .common import joined_to_groups, whole_text
 
 #: Fixed: what counts as the same text.
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -163,7 +162,7 @@ def membership(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
     groups = written(groups, "batch-groups")
     index.append(index.unknown(groups, batch), batch)
     standing = groups.select("digest", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", (~F.col("known")).alias("new"))
-    return digests.join(standing, "digest").select(
+    return joined_to_groups(digests, standing, "digest", "group_size").select(
         "doc_id",
         "keep_id",
         "group_size",

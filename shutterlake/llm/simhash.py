@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, written
+from .common import as_bytes, joined_to_groups, slices, written
 from ..operators.graph import components
 
 #: Words of a shingle and the seed of XXH64; bits that linked fingerprints may differ in.
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Fingerprints in a tile, about; rows of it that are compared at a time.
-TILE, ROWS = 4096, 128
+#: Fingerprints in a tile, about (large, so that a pair's transport is little beside its comparisons); rows and columns that are compared at a time.
+TILE, ROWS, COLUMNS = 1 << 16, 128, 4096
 #: Shingles whose bits are unpacked at a time.
 PART = 1 << 16
 
@@ -86,10 +86,10 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
         return int(i)
 
     u, v = [], []
-    for start in range(0, len(a), ROWS):
-        near = np.bitwise_count(a[start : start + ROWS, None] ^ b[None, :]) <= radius
+    for start, first in ((i, j) for i in range(0, len(a), ROWS) for j in range(0, len(b), COLUMNS)):
+        near = np.bitwise_count(a[start : start + ROWS, None] ^ b[None, first : first + COLUMNS]) <= radius
         for i in np.flatnonzero(near.any(axis=1)).tolist():
-            js = np.flatnonzero(near[i]) + len(a)
+            js = np.flatnonzero(near[i]) + len(a) + first
             mine = find(start + i)
             for j in js[root[js] != mine].tolist():
                 other = find(j)
@@ -138,13 +138,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 def grouped(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, fp, root (the component's least fingerprint) and component_id of each row of ``docs``."""
     found = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     near = written(links(distinct.select("fp"), radius), "links")
-    rooted = distinct.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "components")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(rooted.join(named, "root").select("fp", "root", "component_id"), "fingerprint-components")
-    return found.join(of_fp, "fp").select("doc_id", "key", "fp", "root", "component_id")
+    of_fp = written(rooted.join(named, "root").select("fp", "n", "root", "component_id"), "fingerprint-components")
+    return joined_to_groups(found, of_fp, "fp", "n").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def membership(docs: DataFrame, **options) -> DataFrame:

@@ -242,7 +242,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     now = written(_least(now), "best-start")
     for step in range(STEPS):
         old = now.select(F.col("key").alias("old"), F.col("logdet").alias("before"))
-        then = _step(rows, now)
+        # Written, or the comparison of determinants would have their whole expressions in it.
+        then = written(_step(rows, now), f"then-{step}")
         better = written(then.join(_few(old), then["key"] == old["old"]).filter(F.col("logdet") < F.col("before") - SETTLED).drop("old", "before"), f"step-{step}")
         if better.isEmpty():
             break

@@ -48,7 +48,11 @@ def wide_open(frames: DataFrame, at_least: int = 10) -> DataFrame:
 
     A frame is wide open within a third of a stop of its lens's widest aperture.
     """
-    counts = frames.groupBy("lens", "fnumber").agg(F.count(F.lit(1)).alias("n"))
+    return wide_open_of(frames.groupBy("lens", "fnumber").agg(F.count(F.lit(1)).alias("n")), at_least)
+
+
+def wide_open_of(counts: DataFrame, at_least: int = 10) -> DataFrame:
+    """``wide_open`` from counts n by lens and fnumber (null too)."""
     own = Window.partitionBy("lens")
     held = counts.withColumn("frames", F.sum("n").over(own)).withColumn("widest", F.min("fnumber").over(own)).filter((F.col("frames") >= at_least) & F.col("fnumber").isNotNull())
     sums = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("known"), F.coalesce(F.sum(F.when(F.col("fnumber") <= F.col("widest") * 2 ** (1 / 6), F.col("n"))), F.lit(0)).alias("wide"))

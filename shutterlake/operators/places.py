@@ -16,9 +16,16 @@ def cells(frames: DataFrame) -> DataFrame:
     return frames.filter("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("n"), F.min("taken").alias("first"), F.max("taken").alias("last"), F.collect_set("day").alias("days"))
 
 
+#: Cells beyond which most are joined square by square before pairs are compared.
+MANY = 50_000
+
+
 def links(numbered: DataFrame, radius_km: float, exact: bool = False) -> DataFrame:
     """Pairs (u, v) of cells (id, latitude, longitude) within the radius.
 
+    If the cells have a root, the component that they are known to be of, pairs of one
+    root are left out, and squares around which there is one root alone are not looked at.
+
     Cells meet by an equi-join on grid squares a radius wide, each with its eight
     neighbours.  The usual grid is sheared by the cosine of latitude and can miss
     pairs far from Greenwich, and across the antimeridian; ``exact`` uses bands of
@@ -26,6 +33,8 @@ def links(numbered: DataFrame, radius_km: float, exact: bool = False) -> DataFra
     """
     step = max(radius_km / 111.0, 1e-6)
     c = F.col
+    known = "root" in numbered.columns
+    roots = ["root"] if known else []
     row = F.floor(c("latitude") / step)
     if exact:
         # A row's columns must hold a radius at the highest latitude of the row and its neighbours.
@@ -34,23 +43,45 @@ def links(numbered: DataFrame, radius_km: float, exact: bool = False) -> DataFra
             return F.least(F.lit(360.0), step / F.cos(F.radians(high)))
 
         base = numbered.withColumn("row", row)
-        here = base.withColumn("col", F.floor((c("longitude") + 180) / width(c("row")))).select(c("id").alias("u"), c("latitude").alias("lat"), c("longitude").alias("lon"), "row", "col")
-        near = base.select("id", "latitude", "longitude", F.explode(F.array(*(c("row") + d for d in (-1, 0, 1)))).alias("row"))
+        here = base.withColumn("col", F.floor((c("longitude") + 180) / width(c("row")))).select(c("id").alias("u"), c("latitude").alias("lat"), c("longitude").alias("lon"), "row", "col", *roots)
+        near = base.select("id", "latitude", "longitude", *roots, F.explode(F.array(*(c("row") + d for d in (-1, 0, 1)))).alias("row"))
         wrapped = F.explode(F.array(*(c("longitude") + s for s in (0, 360, -360)))).alias("at")
-        near = near.select("id", "latitude", "longitude", "row", wrapped).withColumn("mid", F.floor((c("at") + 180) / width(c("row"))))
-        near = near.select(c("id").alias("v"), c("latitude").alias("lat2"), c("longitude").alias("lon2"), "row", F.explode(F.array(*(c("mid") + d for d in (-1, 0, 1)))).alias("col"))
+        near = near.select("id", "latitude", "longitude", *roots, "row", wrapped).withColumn("mid", F.floor((c("at") + 180) / width(c("row"))))
+        near = near.select(c("id").alias("v"), c("latitude").alias("lat2"), c("longitude").alias("lon2"), *roots, "row", F.explode(F.array(*(c("mid") + d for d in (-1, 0, 1)))).alias("col"))
     else:
         base = numbered.withColumn("row", row).withColumn("col", F.floor(c("longitude") * F.cos(F.radians("latitude")) / step))
-        here = base.select(c("id").alias("u"), c("latitude").alias("lat"), c("longitude").alias("lon"), "row", "col")
+        here = base.select(c("id").alias("u"), c("latitude").alias("lat"), c("longitude").alias("lon"), "row", "col", *roots)
         around = F.explode(F.array(*(F.struct((c("row") + i).alias("row"), (c("col") + j).alias("col")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        near = base.select(c("id").alias("v"), c("latitude").alias("lat2"), c("longitude").alias("lon2"), around.alias("to")).select("v", "lat2", "lon2", "to.row", "to.col")
+        near = base.select(c("id").alias("v"), c("latitude").alias("lat2"), c("longitude").alias("lon2"), *roots, around.alias("to")).select("v", "lat2", "lon2", *roots, "to.row", "to.col")
+    if known:
+        mixed = near.groupBy("row", "col").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("row", "col")
+        here, near = here.join(mixed, ["row", "col"]), near.withColumnRenamed("root", "from")
+        return here.join(near, ["row", "col"]).filter((c("root") < c("from")) & (haversine_km("lat", "lon", "lat2", "lon2") <= radius_km)).select("u", "v").distinct()
     return here.join(near, ["row", "col"]).filter((c("u") < c("v")) & (haversine_km("lat", "lon", "lat2", "lon2") <= radius_km)).select("u", "v").distinct()
 
 
+def joined(numbered: DataFrame, radius_km: float, exact: bool = False) -> DataFrame:
+    """Components (node, root) of cells that are linked, without comparing all cells of a dense place.
+
+    Cells of a square a quarter of the radius wide are linked to its least one, and these
+    with each other; what pairs are left are those of cells that this has not joined.
+    """
+    step = max(radius_km / 111.0, 1e-6) / 4
+    c = F.col
+    square = numbered.select("id", "latitude", "longitude", F.floor(c("latitude") / step).alias("r"), F.floor(c("longitude") * F.cos(F.radians("latitude")) / step).alias("q"))
+    least = written(square.groupBy("r", "q").agg(F.min(F.struct("id", "latitude", "longitude")).alias("at")), "square-cells")
+    star = square.join(least, ["r", "q"]).filter((c("id") > c("at.id")) & (haversine_km("latitude", "longitude", c("at.latitude"), c("at.longitude")) <= radius_km))
+    first = written(star.select(c("at.id").alias("u"), c("id").alias("v")).union(links(least.select("at.*"), radius_km, exact)), "square-links")
+    known = components(first).select(c("node"), "root")
+    rooted = written(numbered.join(known, c("id") == c("node"), "left").select("id", "latitude", "longitude", F.coalesce("root", "id").alias("root")), "rooted-cells")
+    return components(first.union(links(rooted, radius_km, exact)))
+
+
 def clusters(cell_table: DataFrame, radius_km: float = 25.0, exact: bool = False) -> DataFrame:
     """latitude, longitude (weighted centre), n, cells, radius_km, first, last, days; most frames first."""
     numbered = written(cell_table.withColumn("id", F.monotonically_increasing_id()), "cells")
-    rooted = components(links(numbered.select("id", "latitude", "longitude"), max(radius_km, 0.1), exact))
+    placed, radius = numbered.select("id", "latitude", "longitude"), max(radius_km, 0.1)
+    rooted = joined(placed, radius, exact) if numbered.count() > MANY else components(links(placed, radius, exact))
     held = numbered.join(rooted, numbered["id"] == rooted["node"], "left").withColumn("root", F.coalesce("root", "id"))
     centre = held.groupBy("root").agg(
         (F.sum(F.col("latitude").cast("decimal(12,5)") * F.col("n")).cast("double") / F.sum("n")).alias("c_lat"),

@@ -227,3 +227,14 @@ def test_results_do_not_depend_on_partitions(spark):
 
     b = bronze(spark, rows)
     assert report(b.repartition(1)) == report(b.repartition(7))
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_dense_places_are_joined_as_by_all_pairs(spark, exact):
+    """Thousands of cells in one town, a chain of cells out of it, and others far away and across the antimeridian."""
+
+    rng = random.Random(5)
+    at = [(51.0 + rng.random() / 3, 7.0 + rng.random() / 2) for _ in range(700)] + [(51.0, 7.6 + 0.2 * k) for k in range(8)] + [(-40 + rng.random(), 150 + rng.random()) for _ in range(60)] + [(10.0, 179.95), (10.0, -179.95), (10.05, 179.99)]
+    cells = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(at)], "id bigint, latitude double, longitude double")
+    want = {r["node"]: r["root"] for r in places.components(places.links(cells, 25.0, exact)).collect()}
+    assert {r["node"]: r["root"] for r in places.joined(cells, 25.0, exact).collect()} == want

@@ -11,8 +11,7 @@
 3. Lines that share a band are candidates; bands of one line only are left out by an
    aggregate that combines on the map side.  Of each band the pivot is the line whose
    bands have most lines in all: of texts copied with changes, the one that was copied.
-   Each line is compared with the most central of its pivots first, then with those pivots
-   that are not of its component yet; lastly, within each band, lines of different
+   Each line is compared with its bands' pivots; then, within each band, lines of different
    components are compared with each other.  So any two lines that share a band are of
    one component or have been compared, and a group of thousands of variants costs
    little more than a comparison a line.  A comparison is by signatures first (within
@@ -20,9 +19,9 @@
 4. Union-find by distributed star contraction; of each component the first occurrence
    (smallest doc_id, then line number) stays.
 
-Everything is DataFrame operations but the signatures, which are made in numpy on
-Arrow batches: as DataFrame expressions they alone cost more than half of what the
-check tool allows (README has the figures).
+Everything is DataFrame operations but the signatures and the exact comparisons, which
+are made in numpy on Arrow batches: as DataFrame expressions they cost more than what
+the check tool allows (README has the figures).
 
 The tests hold the recall of the banding at a similarity of 0.8 to 0.97 for lines of 90
 characters or more, 0.95 for those of 36 and 0.9 for the shortest; it is more above it.
@@ -46,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..workspace import written
-from .common import as_bytes, let, slices
+from .common import as_bytes, slices
 
 #: Characters of a shingle; the similarity that links lines.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -54,6 +53,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, BANDS, ROWS, WORDS = 8, 15, 6, 8
 #: Deviations by which two sketches may miss the similarity.
 DEVIATIONS = 3
+#: Pairs that are compared at a time, and bits that number their lines.
+PAIRS, PAIR_BITS = 4096, 13
 #: Characters that are hashed at a time, and lines that are signed at a time; lines that a task remembers to have signed.
 PART, SIGNED, REMEMBERED = 1 << 16, 2048, 1 << 18
 #: Bytes of a table that may be broadcast once its rows are counted.
@@ -209,20 +210,41 @@ def _may_be_similar(a: Column, b: Column) -> Column:
     return same >= bins * (chance - DEVIATIONS * F.sqrt(chance * (1 - chance) / own) - 1 / own)
 
 
-def _similar(a: Column, b: Column) -> Column:
-    """Whether two lower-cased lines' sets of shingles have Jaccard similarity SIMILARITY or more.
+def similar(x: list[str], y: list[str]) -> np.ndarray:
+    """Of each pair of lower-cased lines, whether the sets of their shingles have Jaccard similarity SIMILARITY or more.
 
-    Shingles are compared by 64-bit hashes; of characters in UTF-32, the n-th is found without a search.
+    Shingles are compared by their hashes, less the bits that number the pair.
     """
+    out = np.zeros(len(x), bool)
+    for first in range(0, len(x), PAIRS):
+        pairs = [t.encode("utf-32-le", "replace").ljust(4 * SHINGLE, b"\0") for both in zip(x[first : first + PAIRS], y[first : first + PAIRS]) for t in both]
+        found = []
+        for codes, owner, starting in _blocks(pairs):
+            m = len(codes) - SHINGLE + 1
+            ok = starting[:m]
+            found.append(owner[:m][ok].astype(np.uint64) << np.uint64(64 - PAIR_BITS) | _hashes(codes)[ok] >> np.uint64(PAIR_BITS))
+        own = np.unique(np.concatenate(found))  # of each line its set
+        n = np.bincount((own >> np.uint64(65 - PAIR_BITS)).astype(np.int64), minlength=len(pairs) // 2)
+        # Without the bit that tells the lines of a pair apart, what both have is there twice.
+        both = np.sort((own >> np.uint64(65 - PAIR_BITS)) << np.uint64(64 - PAIR_BITS) | own & np.uint64((1 << 64 - PAIR_BITS) - 1))
+        twice = both[1:][both[1:] == both[:-1]]
+        common = np.bincount((twice >> np.uint64(64 - PAIR_BITS)).astype(np.int64), minlength=len(n))
+        out[first : first + PAIRS] = common >= SIMILARITY * (n - common)
+    return out
+
+
+def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose lines are similar."""
+    c = F.col
 
-    def shingles(line: Column) -> Column:
-        units = F.encode(line, "UTF-32")
-        starts = lambda u: F.sequence(F.lit(0), F.greatest(F.octet_length(u) - 4 * SHINGLE, F.lit(0)), F.lit(4))
-        return let(units, lambda u: F.array_distinct(F.transform(starts(u), lambda i: F.xxhash64(F.substring(u, i + 1, F.lit(4 * SHINGLE))))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices([whole], "x", 1 << 20):
+                keep = similar(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+                yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    both = F.struct(shingles(a).alias("x"), shingles(b).alias("y"))
-    # Of sets, |x| + |y| - |x and y| is the size of the union.
-    return let(both, lambda s: let(F.size(F.array_intersect(s["x"], s["y"])), lambda n: n >= SIMILARITY * (F.size(s["x"]) + F.size(s["y"]) - n)))
+    x, y = texts.select(c("id").alias("u"), c("line").alias("x")), texts.select(c("id").alias("v"), c("line").alias("y"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint")
 
 
 def edges(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -231,25 +253,15 @@ def edges(members: DataFrame, texts: DataFrame) -> DataFrame:
     ``members`` has band, id and sketch, ``texts`` (unique id) id and line in lower case.
     """
     c = F.col
-
-    def exact(pairs: DataFrame, what: str) -> DataFrame:
-        x, y = texts.select(c("id").alias("u"), c("line").alias("x")), texts.select(c("id").alias("v"), c("line").alias("y"))
-        return written(pairs.join(x, "u").join(y, "v").filter(_similar(c("x"), c("y"))).select("u", "v"), what)
-
     sizes = _few(written(members.groupBy("band").agg(F.count(F.lit(1)).alias("k")), "band-sizes"))
     central = members.select("band", "id").join(sizes, "band").groupBy("id").agg(F.sum("k").alias("central"))
     placed = written(members.join(_few(written(central, "central")), "id").select("band", "id", "sketch", "central"), "placed")
     pivots = placed.groupBy("band").agg(F.max(F.struct("central", -c("id"), "sketch")).alias("pivot"))
-    held = _few(written(pivots.select("band", (-c("pivot.col2")).alias("v"), c("pivot.sketch").alias("other"), c("pivot.central").alias("central")), "pivots"), 160)
-    near = members.join(held, "band").filter((c("id") != c("v")) & _may_be_similar(c("sketch"), c("other"))).select(c("id").alias("u"), "v", "central")
-    near = written(near.distinct(), "near-pivots")
-    found = exact(near.groupBy("u").agg(F.max_by("v", F.struct("central", -c("v"))).alias("v")), "links-0")
-    joined = written(components(found), "joined-0")
-    rest = _rooted(near, joined, "u").withColumnRenamed("root", "from")
-    rest = _rooted(rest, joined, "v").filter("root <> from").select("u", "v")
-    found = found.union(exact(rest, "links-1"))
-    joined = written(components(found), "joined-1")
-    return found.union(exact(_apart(members, joined), "links-2"))
+    held = written(pivots.select("band", (-c("pivot.col2")).alias("v"), c("pivot.sketch").alias("other")), "pivots")
+    near = members.join(held, "band").filter((c("id") != c("v")) & _may_be_similar(c("sketch"), c("other"))).select(c("id").alias("u"), "v")
+    joined = written(components(written(_exact(near.distinct(), texts), "pivot-links")), "joined")
+    # What is known stands as a link from each line to its component's least.
+    return joined.select(c("node").alias("u"), c("root").alias("v")).union(written(_exact(_apart(members, joined), texts), "other-links"))
 
 
 def _rooted(df: DataFrame, joined: DataFrame, of: str) -> DataFrame:
@@ -317,7 +329,7 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept = alike.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n_lines"))
     named = alike.filter("root IS NOT NULL").select("h1", "h2", "root").join(kept, "root").drop("root")
     named = written(named.unionByName(alike.filter("root IS NULL").select("h1", "h2", F.col("first").alias("keep"), F.col("n").alias("n_lines"))), "named")
-    out = lines.drop("bands", "sketch").join(_few(named, 128), ["h1", "h2"], "left")
+    out = lines.drop("bands", "sketch").join(_few(named, 80), ["h1", "h2"], "left")
     return out.select("doc_id", "key", "line_no", F.coalesce("keep", own).alias("keep"), F.coalesce("n_lines", F.lit(1)).cast("long").alias("n_lines"))
 
 

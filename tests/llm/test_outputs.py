@@ -169,6 +169,21 @@ def test_line_dedup_recall_of_links(size, least):
     assert far <= 0.3 * 256 * len(lines) / 2
 
 
+def test_line_similarity_is_jaccard(monkeypatch):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcd 日😀", k=rng.randrange(60))) for _ in range(60)]
+    x = [rng.choice(base) for _ in range(400)]
+    y = [t[: rng.randrange(len(t) + 1)] + rng.choice(["", "z", t[-3:]]) for t in x]
+    want = []
+    for a, b in zip(x, y):
+        a, b = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
+        want.append(len(a & b) >= 0.8 * len(a | b))
+    assert line_dedup.similar(x, y).tolist() == want and 40 < sum(want) < 360
+    monkeypatch.setattr(line_dedup, "PAIRS", 7)
+    monkeypatch.setattr(line_dedup, "PART", 16)
+    assert line_dedup.similar(x, y).tolist() == want
+
+
 def test_line_signatures_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(3)
     lines = ["", "a", "abcd", "abcde", "😀" * 9 + "é日"] + ["".join(rng.choices("abcdefg \U0001f600", k=rng.randrange(400))) for _ in range(40)]

@@ -132,3 +132,17 @@ def test_library_page_end_to_end(spark, tmp_path):
         write(tmp_path, f"{i}.jpg", jpeg(usual(i)))
     out = report(read_images(spark, str(tmp_path)))
     assert out["scan"]["photos"] == 70 and out["focal"]["distinct"] == 4 and out["locations"]["total_clusters"] == 1
+
+
+def test_progress_is_told_while_a_job_runs(spark):
+    import time
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(0.8)
+            yield b
+
+    said = []
+    with cli.Progress(spark, said.append, every=0.1):
+        spark.range(6).repartition(6).mapInArrow(slow, "id bigint").count()
+    assert said and all(re.fullmatch(r"  reading: \d+ of \d+ parts", x) for x in said) and len(set(said)) == len(said)

@@ -238,3 +238,9 @@ def test_dense_places_are_joined_as_by_all_pairs(spark, exact):
     cells = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(at)], "id bigint, latitude double, longitude double")
     want = {r["node"]: r["root"] for r in places.components(places.links(cells, 25.0, exact)).collect()}
     assert {r["node"]: r["root"] for r in places.joined(cells, 25.0, exact).collect()} == want
+
+
+def test_histogram_of_a_counter(spark):
+    counts = spark.createDataFrame([(i, i + 1) for i in range(10)] + [(None, 5)], "k int, n bigint")
+    got = [tuple(r) for r in counters.histogram(counts, F.when(F.col("k") < 9, F.floor(F.col("k") / 3))).collect()]
+    assert got == [(0, 6, 6 / 45), (1, 15, 15 / 45), (2, 24, 24 / 45)]

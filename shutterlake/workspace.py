@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local session that names none is given one, a cluster's must name it."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
         place = spark.sparkContext.getCheckpointDir()

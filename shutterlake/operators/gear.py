@@ -22,10 +22,19 @@ def cameras(frames: DataFrame) -> DataFrame:
     return _shared(frames.groupBy("camera").agg(*_use())).orderBy(F.desc("n"), "camera")
 
 
+def _told() -> Column:
+    """Whether a frame has both ends of its lens's range."""
+    return F.col("lens_min").isNotNull() & F.col("lens_max").isNotNull() & (F.col("lens_min") != 0) & (F.col("lens_max") != 0)
+
+
+def _when() -> list[Column]:
+    """What frames are ordered by: time, undated ones first, then path."""
+    return [F.col("taken").isNotNull().alias("known"), F.col("taken"), F.col("path")]
+
+
 def declared() -> tuple[Column, Column]:
     """A lens's declared range: that of its last frame by time (then path) that has both ends."""
-    both = F.col("lens_min").isNotNull() & F.col("lens_max").isNotNull() & (F.col("lens_min") != 0) & (F.col("lens_max") != 0)
-    last = F.max_by(F.when(both, F.struct("lens_min", "lens_max")), F.when(both, F.struct(F.col("taken").isNotNull().alias("known"), F.col("taken"), F.col("path"))))
+    last = F.max_by(F.when(_told(), F.struct("lens_min", "lens_max")), F.when(_told(), F.struct(*_when())))
     return last["lens_min"].alias("declared_low"), last["lens_max"].alias("declared_high")
 
 
@@ -61,9 +70,12 @@ def wide_open_of(counts: DataFrame, at_least: int = 10) -> DataFrame:
 
 def zoom_usage(frames: DataFrame, at_least: int = 20, distinct: int = 4) -> DataFrame:
     """One row per zoom with enough frames: its range, where on it frames lie, a verdict, and what is not reached."""
-    low, high = declared()
-    per_lens = frames.groupBy("lens").agg(F.count(F.lit(1)).alias("frames"), low, high, F.min("focal").alias("used_low"), F.max("focal").alias("used_high"), F.countDistinct("focal").alias("distinct"))
     c = F.col
+    # One pass over the frames; what follows reads the counts by lens and focal length.
+    counts = frames.groupBy("lens", "focal").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(_told(), F.struct(*_when(), "lens_min", "lens_max"))).alias("last"))
+    own = Window.partitionBy("lens")
+    per_lens = counts.select("lens", "focal", "n", F.sum("n").over(own).alias("frames"), F.max("last").over(own).alias("last"), F.min("focal").over(own).alias("used_low"), F.max("focal").over(own).alias("used_high"), F.count("focal").over(own).alias("distinct"))
+    per_lens = per_lens.filter(c("focal").isNotNull()).withColumns({"declared_low": c("last.lens_min"), "declared_high": c("last.lens_max")}).drop("last")
     per_lens = per_lens.filter((c("frames") >= at_least) & (c("distinct") >= distinct) & (c("used_high") / c("used_low") >= ZOOM_RATIO))
     told = F.coalesce(c("declared_high") / F.greatest(c("declared_low"), F.lit(1e-9)) >= ZOOM_RATIO, F.lit(False))
     per_lens = per_lens.select(
@@ -72,9 +84,8 @@ def zoom_usage(frames: DataFrame, at_least: int = 20, distinct: int = 4) -> Data
         F.when(told, c("declared_high")).otherwise(c("used_high")).alias("high"),
         F.when(told, ZOOM_BASES["declared"]).otherwise(ZOOM_BASES["used"]).alias("basis"),
     )
-    counts = frames.filter(c("focal").isNotNull()).groupBy("lens", "focal").agg(F.count(F.lit(1)).alias("n"))
     at = (F.log(F.least(F.greatest(c("focal"), c("low")), c("high"))) - F.log(c("low"))) / (F.log(c("high")) - F.log(c("low")))
-    placed = counts.join(per_lens, "lens").withColumn("at", at)
+    placed = per_lens.withColumn("at", at)
     part = lambda test: F.coalesce(F.sum(F.when(test, c("n"))), F.lit(0)) / F.sum("n")
     keys = ["lens", "frames", "low", "high", "basis", "declared_low", "declared_high", "used_low", "used_high"]
     out = placed.groupBy(*keys).agg(part(c("at") <= END_PART).alias("wide_end"), part((c("at") > END_PART) & (c("at") < 1 - END_PART)).alias("middle"), part((c("at") > END_PART) & (c("at") >= 1 - END_PART)).alias("long_end"))

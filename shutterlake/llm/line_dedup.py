@@ -37,6 +37,7 @@ columns are kept by ``cleaned``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, BANDS, ROWS, WORDS = 8, 15, 6, 8
 #: Deviations by which two sketches may miss the similarity.
 DEVIATIONS = 3
-#: Pairs that are compared at a time, and bits that number their lines.
-PAIRS, PAIR_BITS = 4096, 13
+#: Characters of a line whose set of shingles is kept while pairs are compared, and how many such sets are.
+SHORT, REMEMBERED_SETS = 1024, 512
 #: Characters that are hashed at a time, and lines that are signed at a time; lines that a task remembers to have signed.
 PART, SIGNED, REMEMBERED = 1 << 16, 2048, 1 << 18
 #: Bytes of a table that may be broadcast once its rows are counted.
@@ -210,26 +211,30 @@ def _may_be_similar(a: Column, b: Column) -> Column:
     return same >= bins * (chance - DEVIATIONS * F.sqrt(chance * (1 - chance) / own) - 1 / own)
 
 
+def _shingles(line: str) -> np.ndarray:
+    """Hashes of a line's shingles, repeats too."""
+    return _hashes(np.frombuffer(line.encode("utf-32-le", "replace").ljust(4 * SHINGLE, b"\0"), "<u4"))
+
+
+@lru_cache(REMEMBERED_SETS)
+def _short_set(line: str) -> frozenset[int]:
+    return frozenset(_shingles(line).tolist())
+
+
 def similar(x: list[str], y: list[str]) -> np.ndarray:
     """Of each pair of lower-cased lines, whether the sets of their shingles have Jaccard similarity SIMILARITY or more.
 
-    Shingles are compared by their hashes, less the bits that number the pair.
+    Shingles are compared by their 64-bit hashes.  Pairs of one line come one after another, so sets of short lines are kept.
     """
     out = np.zeros(len(x), bool)
-    for first in range(0, len(x), PAIRS):
-        pairs = [t.encode("utf-32-le", "replace").ljust(4 * SHINGLE, b"\0") for both in zip(x[first : first + PAIRS], y[first : first + PAIRS]) for t in both]
-        found = []
-        for codes, owner, starting in _blocks(pairs):
-            m = len(codes) - SHINGLE + 1
-            ok = starting[:m]
-            found.append(owner[:m][ok].astype(np.uint64) << np.uint64(64 - PAIR_BITS) | _hashes(codes)[ok] >> np.uint64(PAIR_BITS))
-        own = np.unique(np.concatenate(found))  # of each line its set
-        n = np.bincount((own >> np.uint64(65 - PAIR_BITS)).astype(np.int64), minlength=len(pairs) // 2)
-        # Without the bit that tells the lines of a pair apart, what both have is there twice.
-        both = np.sort((own >> np.uint64(65 - PAIR_BITS)) << np.uint64(64 - PAIR_BITS) | own & np.uint64((1 << 64 - PAIR_BITS) - 1))
-        twice = both[1:][both[1:] == both[:-1]]
-        common = np.bincount((twice >> np.uint64(64 - PAIR_BITS)).astype(np.int64), minlength=len(n))
-        out[first : first + PAIRS] = common >= SIMILARITY * (n - common)
+    for i, (a, b) in enumerate(zip(x, y)):
+        if max(len(a), len(b)) <= SHORT:
+            one, two = _short_set(a), _short_set(b)
+            common = len(one & two)
+        else:
+            one, two = np.unique(_shingles(a)), np.unique(_shingles(b))
+            common = len(np.intersect1d(one, two, assume_unique=True))
+        out[i] = common >= SIMILARITY * (len(one) + len(two) - common)
     return out
 
 

@@ -179,8 +179,7 @@ def test_line_similarity_is_jaccard(monkeypatch):
         a, b = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
         want.append(len(a & b) >= 0.8 * len(a | b))
     assert line_dedup.similar(x, y).tolist() == want and 40 < sum(want) < 360
-    monkeypatch.setattr(line_dedup, "PAIRS", 7)
-    monkeypatch.setattr(line_dedup, "PART", 16)
+    monkeypatch.setattr(line_dedup, "SHORT", 20)
     assert line_dedup.similar(x, y).tolist() == want
 
 

@@ -7,9 +7,10 @@ gear, days, 40 places), not by the number of photographs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from ..schema import MONTHS, NOTABLE_FOCALS, NOTABLE_FSTOPS, WEEKDAYS
 
 #: Shares below which an hour or a weekday counts as unused, at least.
 QUIET_HOUR, QUIET_DAY = 0.005, 0.02
+#: Sections that are made at a time.
+SECTIONS = 6
 
 
 def absences(frames: DataFrame, key: str, series: Sequence[float], threshold: float) -> DataFrame:
@@ -182,23 +185,26 @@ def report(bronze: DataFrame, o: Options = Options(), meta: dict | None = None)
     cells = None if o.gps == "off" else places.cells(frames).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         span = one(calendar.span(frames))
-        time_of_day = _time(frames, cells, o)
-        return {
-            "meta": dict(meta or {}),
-            "scan": scan,
-            "span": span,
-            "gear": _gear(frames),
-            "focal": _focal(frames),
-            "aperture": _aperture(frames),
-            "shutter": _shutter(frames),
-            "iso": _iso(frames),
-            "time_of_day": time_of_day,
-            "calendar": _calendar(frames),
-            "locations": _places(cells, scan["photos"], o),
-            "absences": _absences(frames, scan["photos"], time_of_day["hours"], time_of_day["weekdays"], o),
-            "habits": rows(habits.habits(frames).drop("rule")),
-            "filters": {"since": _value(o.since), "until": _value(o.until), "camera": o.camera, "lens": o.lens, "gps": o.gps},
-        }
+        # The sections are many small jobs, which do not fill a machine one at a time.
+        with ThreadPoolExecutor(SECTIONS) as pool:
+            go = lambda f, *args: pool.submit(inheritable_thread_target(f), *args)
+            parts = {
+                "time_of_day": go(_time, frames, cells, o),
+                "locations": go(_places, cells, scan["photos"], o),
+                "habits": go(lambda: rows(habits.habits(frames).drop("rule"))),
+                "focal": go(_focal, frames),
+                "gear": go(_gear, frames),
+                "aperture": go(_aperture, frames),
+                "shutter": go(_shutter, frames),
+                "iso": go(_iso, frames),
+                "calendar": go(_calendar, frames),
+            }
+            time_of_day = parts["time_of_day"].result()
+            absent = go(_absences, frames, scan["photos"], time_of_day["hours"], time_of_day["weekdays"], o)
+            found = {name: part.result() for name, part in parts.items()} | {"absences": absent.result()}
+        first = {"meta": dict(meta or {}), "scan": scan, "span": span}
+        order = ["gear", "focal", "aperture", "shutter", "iso", "time_of_day", "calendar", "locations", "absences", "habits"]
+        return first | {name: found[name] for name in order} | {"filters": {"since": _value(o.since), "until": _value(o.until), "camera": o.camera, "lens": o.lens, "gps": o.gps}}
     finally:
         frames.unpersist()
         if cells is not None:

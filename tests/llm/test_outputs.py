@@ -200,6 +200,54 @@ def test_line_signatures_do_not_depend_on_pieces(monkeypatch):
             assert row[k] == min(h for h in own if h >> 56 == at)
 
 
+def test_line_dedup_recall_of_band_keys(spark):
+    """Pairs of lines of just SIMILARITY or more, changed at their end or in many places, share a band."""
+    rows, want = [], {}
+    for size, scattered, least in [(9, False, 0.9), (16, False, 0.93), (36, False, 0.95), (90, False, 0.97), (400, False, 0.97), (400, True, 0.9)]:
+        rng, want[(size, scattered)] = random.Random(size), least
+        for i in range(300):
+            shingles = size - line_dedup.SHINGLE + 1
+            if scattered:
+                a = rng.choices("etaoin shrdlu", k=size)
+                b = list(a)
+                for at in range(20, 20 + 50 * (shingles // 45), 50):
+                    b[at] = "#"
+            else:
+                a = [chr(0x4E00 + rng.randrange(20_000)) for _ in range(size)]
+                b = a[: size - shingles // 9] + ["\U0001f600"] * (shingles // 9) if shingles >= 9 else [*a, "z"]
+            x, y = line_dedup_shingles("".join(a)), line_dedup_shingles("".join(b))
+            assert 0.8 <= len(x & y) / len(x | y) < 0.89
+            rows += [(size, scattered, i, "".join(a)), (size, scattered, i, "".join(b))]
+    keys = {}
+    df = spark.createDataFrame(rows, "size int, scattered boolean, i int, line string").coalesce(2)
+    for r in line_dedup.band_keys(df).collect():
+        keys.setdefault((r["size"], r["scattered"], r["i"]), []).append(set(r["bands"]))
+    for which, least in want.items():
+        share = np.mean([bool(a & b) for k, (a, b) in keys.items() if k[:2] == which])
+        assert share >= least, (which, share)
+
+
+def test_line_dedup_runs_no_python(spark):
+    """Names, bands, sketches and exact comparisons are DataFrame operations."""
+    texts = spark.createDataFrame([(1, "one line of words"), (2, "one line of word"), (3, "😀abc"), (4, "😀abd"), (5, "ab")], "id bigint, line string")
+    pairs = spark.sql("SELECT * FROM VALUES (1L, 2L), (3L, 4L), (1L, 5L) AS t(u, v)")
+    docs = texts.selectExpr("id AS doc_id", "line AS text")
+    for df in (line_dedup.signed_lines(docs, "doc_id", "text"), line_dedup._sketches(texts), line_dedup._exact(pairs, texts)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan
+    assert {(r["u"], r["v"]) for r in line_dedup._exact(pairs, texts).collect()} == {(1, 2)}
+
+
+def test_line_dedup_long_lines_are_compared_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART", 16)
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefgh 😀", k=120))
+    lines = [base, base[:118], base[:60], "ab", "".join(rng.choices("xyz", k=90))]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id bigint, line string")
+    pairs = spark.createDataFrame([(i, j) for i in range(5) for j in range(i)], "u bigint, v bigint")
+    assert {(r["u"], r["v"]) for r in line_dedup._exact(pairs, texts).collect()} == {(1, 0)}
+
+
 def test_line_dedup_cleans_the_row_it_means(spark):
     """Rows of equal or no doc_id that share a line: only the later one's goes."""
     rows = [(None, "shared line of several words here\nonly in the first row of all"), (None, "quite another beginning of a text\nshared line of several words here"), (5, "one line of five\nsecond of five"), (5, "third of five is long enough\none line of five")]

@@ -11,10 +11,11 @@
 3. Lines that share a band are candidates: all bands are dealt out once by their hash,
    which finds the shared ones and their lines.  Of each band the pivot is the line whose
    bands have most lines in all: of texts copied with changes, the one that was copied.
-   Each line is compared with its bands' pivots; then, within each band, lines of different
-   components are compared with each other.  So any two lines that share a band are of
-   one component or have been compared, and a group of thousands of variants costs
-   little more than a comparison a line.  A comparison is by sketches first (within the
+   Each line is compared with its bands' pivots; then with the line of another component
+   that its sketch is nearest to; then, within each band, all lines that are still of
+   different components are compared with each other, each pair once.  So any two lines that
+   share a band are of one component or have been compared, and a group of thousands of
+   variants costs few comparisons a line, but for those that stay apart.  A comparison is by sketches first (within the
    join): parities of the set of shingles of SHINGLE characters, which bound by how much
    two sets differ; then by the exact Jaccard similarity of those sets.
 4. Union-find by distributed star contraction; of each component the first occurrence
@@ -59,14 +60,16 @@ SHORT, REMEMBERED_SETS = 1024, 512
 PART, SIGNED, REMEMBERED = 1 << 16, 2048, 1 << 18
 #: Bytes of a table that may be broadcast once its rows are counted.
 BROADCAST = 24 << 20
+#: Names whose copies are left out before bands are dealt out.
+OFTEN = 1 << 17
 #: Odd multipliers of the hash, and the value of an empty bin.
 STEP, SPREAD, EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: The bins of the bands.
 BAND_BINS = np.random.default_rng(6).permutation(1 << BITS)[: BANDS * ROWS].reshape(BANDS, ROWS)
-#: Characters of a band's shingle with the one it starts at: one of a few characters, of more, or any; and of one of SHINGLE (none begins within a pair of surrogates).
+#: Characters of a band's shingle with the one it starts at: one of a few characters, of more, or any; and of one of SHINGLE (the last dot goes on by a whole character).
 SPAN = 9
 RARE, FREQUENT = (rf"(?s)[{x}\x{{80}}-\x{{10FFFF}}](?=(.{{{SPAN - 1}}}))" for x in ("a05", "aeio0-9"))
-EVERY, OF_FIVE = (rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))" for n in (SPAN - 1, SHINGLE))
+EVERY, OF_FIVE = (rf"(?s)(?=({'.' * n}))." for n in (SPAN - 1, SHINGLE))
 #: Hashes kept of a line; how many make samples enough, or are used beside all; fewer shingles than FEW are also taken by SHINGLE.
 KEPT, ENOUGH, AT_LEAST, FEW = 27, 16, 12, 24
 
@@ -212,17 +215,22 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return one.groupBy("id").agg(*words, F.count(F.lit(1)).alias("n")).select("id", F.array(*(c(f"w{k}") for k in range(WORDS)), c("n")).alias("sketch"))
 
 
-def _may_be_similar(a: Column, b: Column) -> Column:
+def _differ(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def _may_be_similar(a: Column, b: Column, deviations: float = DEVIATIONS) -> Column:
     """Whether two sketches allow SIMILARITY.
 
     At SIMILARITY the sets differ by ``apart`` shingles at most.  Each changes one bit, so no more bits differ;
-    nor more than DEVIATIONS beyond what so many changes leave, as some change a bit back.
+    nor more than ``deviations`` beyond what so many changes leave, as some change a bit back.
     """
     bits = 64 * WORDS
-    differ = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    differ = _differ(a, b)
     apart = (a[WORDS] + b[WORDS]) * ((1 - SIMILARITY) / (1 + SIMILARITY))
     left = F.exp(apart * (-2.0 / bits))
-    likely = (1 - left) * (bits / 2) + F.sqrt((1 - left * left) * (bits / 4)) * DEVIATIONS
+    likely = (1 - left) * (bits / 2) + F.sqrt((1 - left * left) * (bits / 4)) * deviations
     sizes = F.least(a[WORDS], b[WORDS]) >= F.greatest(a[WORDS], b[WORDS]) * (SIMILARITY - 1e-9)
     return F.coalesce(sizes & (differ <= F.least(apart + 1e-6, likely)), F.lit(True))
 
@@ -263,11 +271,13 @@ def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose lines are similar: the sets of their shingles, by 64-bit hashes, have Jaccard similarity SIMILARITY or more."""
     c = F.col
     enough = c("common") >= (c("nu") + c("nv") - c("common")) * SIMILARITY
+    raw = lambda x: F.when(F.length(x) < SHINGLE, F.array(F.xxhash64(x))).otherwise(F.transform(F.regexp_extract_all(x, F.lit(OF_FIVE), F.lit(1)), lambda g: F.xxhash64(g)))
     x, y = texts.select(c("id").alias("u"), c("line").alias("x")), texts.select(c("id").alias("v"), c("line").alias("y"))
     both = pairs.join(x, "u").join(y, "v")
     long = (F.length("x") > PART) | (F.length("y") > PART)
-    sets = both.filter(~long).select("u", "v", _five(c("x")).alias("a"), _five(c("y")).alias("b"))
-    found = sets.select("u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), F.size(F.array_intersect("a", "b")).alias("common")).filter(enough).select("u", "v")
+    sets = both.filter(~long).select("u", "v", raw(c("x")).alias("a"), raw(c("y")).alias("b"))
+    # Both functions take each hash once, however often it is there.
+    found = sets.filter(F.size(F.array_intersect("a", "b")) >= F.size(F.array_union("a", "b")) * SIMILARITY).select("u", "v")
     far = texts.filter(F.length("line") > PART)
     if far.isEmpty():
         return found
@@ -297,31 +307,67 @@ def edges(members: DataFrame, texts: DataFrame) -> DataFrame:
     held = written(pivots.select("band", (-c("pivot.col2")).alias("v"), c("pivot.sketch").alias("other")), "pivots")
     near = members.join(held, "band").filter((c("id") != c("v")) & _may_be_similar(c("sketch"), c("other"))).select(c("id").alias("u"), "v")
     joined = written(components(written(_exact(near.distinct(), texts), "pivot-links")), "joined")
+    rows = _mixed(members, joined)
+    likely = written(_apart(rows, 0), "likely")
+    links = written(_exact(_nearest(likely), texts), "likely-links")
+    # Links of lines as links of their components, which are few.
+    between = links.join(likely, ["u", "v"]).select(c("from").alias("u"), c("to").alias("v"))
+    merged = written(components(written(between, "between")), "merged")
+    others = written(_exact(_apart(_merged(rows, merged), DEVIATIONS).select("u", "v"), texts), "other-links")
     # What is known stands as a link from each line to its component's least.
-    return joined.select(c("node").alias("u"), c("root").alias("v")).union(written(_exact(_apart(members, joined), texts), "other-links"))
+    known = [x.select(c("node").alias("u"), c("root").alias("v")) for x in (joined, merged)]
+    return known[0].union(known[1]).union(others)
 
 
-def _rooted(df: DataFrame, joined: DataFrame, of: str) -> DataFrame:
-    """``df`` with root, the component of its column ``of`` under ``joined`` (node, root)."""
-    named = _few(joined).withColumnRenamed("node", "named")
-    return df.join(named, F.col(of) == F.col("named"), "left").withColumn("root", F.coalesce("root", of)).drop("named")
+def _rooted(df: DataFrame, joined: DataFrame, of: str, root: str = "root") -> DataFrame:
+    """``df`` with ``root``, the component of its column ``of`` under ``joined`` (node, root)."""
+    named = _few(joined).toDF("named", "found")
+    return df.join(named, F.col(of) == F.col("named"), "left").withColumn(root, F.coalesce("found", of)).drop("named", "found")
 
 
-def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a band, are of different components and may be similar.
+def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """The lines of bands whose lines are of different components, in each such band.
 
-    ``joined`` has the components so far.  Of a group's components the largest is not
-    compared with itself, so a family of variants is no square.
+    band, id, sketch, root (the component under ``joined``), main (the band's largest component) and bands (all of the line's here).
     """
     c = F.col
-    rooted = written(_rooted(members, joined, "id").select("band", "id", "sketch", "root"), "rooted")
+    rooted = written(_rooted(members, joined, "id"), "rooted")
     sizes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "main")
-    now = written(rooted.join(_few(written(mixed, "mixed-bands")), "band").select("band", "id", "sketch", "root", (c("root") == c("main")).alias("main")), "apart")
-    left = now.filter("NOT main").select("band", c("id").alias("u"), c("sketch").alias("other"), c("root").alias("from"))
+    now = rooted.join(_few(written(mixed, "mixed-bands")), "band")
+    lines = now.groupBy("id").agg(F.any_value("sketch").alias("sketch"), F.any_value("root").alias("root"), F.collect_list(F.struct("band", "main")).alias("at"))
+    return written(lines.select("id", "sketch", "root", c("at.band").alias("bands"), F.inline("at")), "apart")
+
+
+def _merged(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` of ``_mixed`` after components have been joined (node, root)."""
+    return written(_rooted(_rooted(rows, merged, "root"), merged, "main", "main"), "apart-merged")
+
+
+def _apart(rows: DataFrame, deviations: float) -> DataFrame:
+    """Pairs (u, v) that share a band, are of different components (``from``, ``to``) and may be similar; each once.
+
+    ``gap`` is the bits that differ, of the sizes.  ``rows`` are of ``_mixed``.  Of a
+    band's components the largest is not compared with itself, so a family of
+    variants is no square.
+    """
+    c = F.col
+    # Sketches as columns: with arrays the join's code is too long to be compiled.
+    x, y = ([c(f"{n}{k}") for k in range(WORDS + 1)] for n in "xy")
+    right = rows.select("band", "id", "root", "main", "bands", *(c("sketch")[k].alias(f"x{k}") for k in range(WORDS + 1)))
+    left = rows.filter("root <> main").select(c("band").alias("b"), c("id").alias("u"), c("root").alias("from"), c("bands").alias("also"), *(c("sketch")[k].alias(f"y{k}") for k in range(WORDS + 1)))
     # Of two that are both outside the largest component, one comparison is enough.
-    both = (c("root") != c("from")) & (c("main") | (c("id") > c("u"))) & _may_be_similar(c("sketch"), c("other"))
-    return left.join(now.withColumnRenamed("band", "b"), (c("band") == c("b")) & both).select("u", c("id").alias("v")).distinct()
+    both = (c("root") != c("from")) & ((c("root") == c("main")) | (c("id") > c("u"))) & _may_be_similar(x, y, deviations)
+    # They share only bands that are in both rows' lists: a pair is made in the least of them.
+    once = F.array_min(F.array_intersect("bands", "also")) == c("band")
+    gap = F.coalesce(_differ(x, y) / (x[WORDS] + y[WORDS]), F.lit(0.0))
+    return left.join(right, (c("band") == c("b")) & both & once).select("u", c("id").alias("v"), gap.alias("gap"), "from", c("root").alias("to"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v, gap) the one of the least gap of each u, and of each v."""
+    of = [pairs.groupBy(x).agg(F.min(F.struct("gap", y))[y].alias(y)).select("u", "v") for x, y in ("uv", "vu")]
+    return of[0].union(of[1]).distinct()
 
 
 def _candidates(lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +376,10 @@ def _candidates(lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataF
     All bands are dealt out once, which serves both the search for shared ones and its result; nothing of their number is broadcast.
     """
     c = F.col
-    dealt = lines.select(F.explode("bands").alias("band"), "h1").repartition("band")
+    # Of the names that are met most only the first line is dealt out: copies share all bands, and add nothing.
+    often = distinct.filter("n > 1").orderBy(F.desc("n")).limit(OFTEN).select("h1", "h2", "first")
+    once = lines.join(F.broadcast(written(often, "often")), ["h1", "h2"], "left").filter(c("first").isNull() | c("first").eqNullSafe(F.struct("doc_id", "line_no", "key")))
+    dealt = once.select(F.explode("bands").alias("band"), "h1").repartition("band")
     shared = dealt.groupBy("band").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("band")
     found = written(dealt.join(shared.hint("shuffle_hash"), "band").distinct(), "shared-members")
     some = written(found.select("h1").distinct(), "shared-names")

@@ -151,6 +151,25 @@ def test_line_dedup_compares_all_components_of_a_band(spark):
     assert got[:4] == [0, 0, 0, 0] and got[4:] == list(range(4, 24))
 
 
+def test_line_dedup_makes_a_pair_once_and_compares_the_nearest_first(spark):
+    """Lines of their own components that share two bands: each pair is made in one of them, at first the nearest alone."""
+    rng = random.Random(6)
+    now, lines = rng.choices("abcdefghijklmnopqrstuvwxyz", k=240), []
+    for k in range(12):
+        now[k * 14 : k * 14 + 3] = rng.choices("0123456789", k=3)
+        lines.append("".join(now))
+    texts = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string").coalesce(1)
+    members = texts.join(line_dedup._sketches(texts), "id").selectExpr("explode(array(7L, 9L)) AS band", "id", "sketch")
+    rows = line_dedup._mixed(members, spark.createDataFrame([], "node bigint, root bigint"))
+    pairs = line_dedup._apart(rows, line_dedup.DEVIATIONS)
+    got = [tuple(sorted((r["u"], r["v"]))) for r in pairs.collect()]
+    sets = [line_dedup_shingles(x) for x in lines]
+    assert len(got) == len(set(got))
+    assert set(got) >= {(i, j) for j in range(12) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    nearest = [(r["u"], r["v"]) for r in line_dedup._nearest(pairs).collect()]
+    assert {x for p in got for x in p} == {x for p in nearest for x in p} and len(nearest) <= 2 * 12 < len(got)
+
+
 @pytest.mark.parametrize("size, least", [(9, 0.9), (16, 0.93), (36, 0.95), (90, 0.97), (400, 0.97)])
 def test_line_dedup_recall_of_links(size, least):
     """Pairs of lines of just SIMILARITY or more: how many share a band and have sketches that allow it."""
